@@ -255,11 +255,12 @@ def pretty(v: object, indent: int | str = 2, sort_keys: bool = False, colour: bo
     return paint(text(v), k if k != "boolean" else text(v))
 
 
-def shown(v: object) -> str:
-    """A value in an error message: long texts are cut."""
+def shown(v: object, most: int = 14) -> str:
+    """A value in an error message; texts of more bytes than fit are cut, containers later than scalars."""
     s = text(v)
     raw = s.encode()
-    return s if len(raw) <= 11 else raw[:10].decode(errors="ignore") + "..."
+    most = 30 if isinstance(v, (list, dict)) else most
+    return s if len(raw) <= most else raw[: most - 3].decode(errors="ignore") + "..."
 
 
 # -- parsing -------------------------------------------------------------------------------------
@@ -351,7 +352,7 @@ def value_at(s: str, at: int, repair: bool = False, deepest: int = DEEPEST_INPUT
             elif re.fullmatch(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?", word):
                 value = input_number(word)
             else:
-                raise JsonTextError("Invalid numeric literal" if word[0] in "-+0123456789." else "Invalid literal", at)
+                raise JsonTextError("Invalid numeric literal" + (" at EOF" if m.end() == len(s) else ""), m.end())
             at = m.end()
         else:
             raise JsonTextError(f"Unexpected {c}", at)
@@ -382,6 +383,8 @@ def value_at(s: str, at: int, repair: bool = False, deepest: int = DEEPEST_INPUT
                 at = _BLANK.match(s, at).end()
                 if at >= len(s) and repair and not done:
                     return _closed(stack), at
+                if s[at : at + 1] == "'":
+                    raise JsonTextError("Invalid string literal; expected \", but got '", at + 4)
                 if s[at : at + 1] != '"':
                     raise JsonTextError("Object keys must be strings", at)
                 stack[-1][1], at = _text_string(s, at + 1)
