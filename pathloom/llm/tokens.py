@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 
 import numpy as np
 
@@ -18,37 +19,67 @@ REMEMBERED = 400_000
 LONGEST = 64
 
 
+#: Letters and other numbers of the first 384 code points, whose Unicode properties never change.
+LATIN_LETTERS = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f"
+LATIN_NUMBERS = r"0-9\xb2\xb3\xb9\xbc-\xbe"
+ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
+_SIMPLE = re.compile(r"[\x00-\u012f\u0131-\u017f]*\Z")
+_MARK = f"[^{WHITE}{LATIN_LETTERS}{LATIN_NUMBERS}]"
+#: The vocabularies' own splits, for such code points.
+_KEEPING = re.compile(f"{ENDINGS}| ?[{LATIN_LETTERS}]+| ?[{LATIN_NUMBERS}]+| ?{_MARK}+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+_DROPPING = re.compile(f"{ENDINGS}|[{LATIN_LETTERS}]+|[{LATIN_NUMBERS}]|{_MARK}+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable character that stands for each byte in byte-level vocabularies."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_BYTES = _byte_letters()
+
+
 class Memo(dict):
-    """piece -> its ids as little-endian unsigned 32-bit integers."""
+    """piece -> its ids as little-endian unsigned 32-bit integers. When full, entries not used since the last time go."""
 
-    def __init__(self, tokenizer):
+    def __init__(self, make, most: int = REMEMBERED):
         super().__init__()
-        self.tokenizer = tokenizer
+        self.make, self.most, self.older = make, most, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.asarray(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.make(piece)
         if len(piece) <= LONGEST:
-            if len(self) >= REMEMBERED:
+            if len(self) >= self.most:
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
 
 
 class Encoder:
-    """Made once in a worker process; encode() gives the ids of one text as bytes."""
+    """Made once in a worker process; encode() gives the ids of one text as bytes.
+
+    A new piece of plain Latin text is split as the vocabulary splits it and its parts, remembered too, go
+    to the library's model; any other piece goes through the library's whole pipeline.
+    """
 
     _made: dict[str, "Encoder"] = {}
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        self.memo = Memo(tokenizer)
-        self.width = 2 if tokenizer.get_vocab_size() <= 65536 else 4
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        self.width = 2 if self.tokenizer.get_vocab_size() <= 65536 else 4
         # Where white space is dropped a piece is a word; else it is the white space before a word and the word.
-        drops = not tokenizer.encode(" ", add_special_tokens=False).ids
-        self.pieces = re.compile(f"[^{WHITE}]+" if drops else f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
+        self.drops = not self.tokenizer.encode(" ", add_special_tokens=False).ids
+        self.pieces = re.compile(f"[^{WHITE}]+" if self.drops else f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
+        self.parts = Memo(self.part)
+        self.memo = Memo(self.piece)
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -56,6 +87,24 @@ class Encoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
+    def ids(self, shown: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+    def part(self, part: str) -> bytes:
+        return self.ids(part.encode().decode("latin-1").translate(_BYTES))
+
+    def piece(self, piece: str) -> bytes:
+        if piece.isascii():  # most are one word: no need to split them
+            if self.drops:
+                if piece.isalpha():
+                    return self.ids(piece.lower())
+            elif piece[0] == " " and piece[1:].isalpha():
+                return self.ids("\u0120" + piece[1:])
+        elif not _SIMPLE.match(piece):
+            return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+        found = _DROPPING.findall(piece.lower()) if self.drops else _KEEPING.findall(piece)
+        return b"".join(map(self.parts.__getitem__, found))
+
     def encode(self, text: str | None) -> bytes:
         return b"".join(map(self.memo.__getitem__, self.pieces(text))) if text else b""
 
