@@ -97,7 +97,7 @@ def tokenized(path: str, end_id: int):
                         seen.add(name)
                         rows.append((int.from_bytes(name[:8], "little", signed=True), "chunk", name, data, None, None, None, None))
                 root = merkle(names)
-                deal = int.from_bytes(digest(f"{doc_id}".encode())[:8], "little", signed=True)
+                deal = int.from_bytes(digest(f"{doc_id}".encode() + root)[:8], "little", signed=True)
                 rows.append((deal, "recipe", root, None, doc_id, len(ids), names, lengths))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _CUT_ARROW)], schema=_CUT_ARROW)

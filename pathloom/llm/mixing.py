@@ -147,7 +147,7 @@ def remixed(docs: DataFrame, weights: tuple = (5, 2, 1), limit: int = 3, block:
     spans = spans.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), "at", "rank", "size", "pass", "taken", F.when(F.col("taken") < F.col("size"), F.col("spans")).alias("spans"))
     full = docs.select(*cols).withColumn("_k", F.xxhash64("text"))
     # Repeated rows share doc_id and key; each has its own place, so their copies are numbered on both sides.
-    full = full.withColumn("_n", F.row_number().over(W.partitionBy("doc_id", "_k").orderBy("source", "lang")))
+    full = full.withColumn("_n", F.row_number().over(W.partitionBy("doc_id", "_k").orderBy(F.col("source").asc_nulls_last(), "lang")))
     where = placed.where("size > 0").select("doc_id", "row_key", "rank", "at")
     where = where.withColumn("_n", F.row_number().over(W.partitionBy("doc_id", "row_key").orderBy("rank", "at")))
     spans = spans.join(where.select(F.col("doc_id").alias("_i"), F.col("row_key").alias("_r"), F.col("rank").alias("_rank"), F.col("at").alias("_at"), "_n"), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_key") == F.col("_r")) & (F.col("rank") == F.col("_rank")) & (F.col("at") == F.col("_at")))

@@ -23,17 +23,19 @@ other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pathloom.llm.common import ship, staged
 
@@ -104,10 +106,12 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, int, int]]:
     """(start, end, length class, level) of runs that no pattern's span overlaps."""
-    out = []
+    out, starts = [], [s for s, _, _ in base]
+    reach = list(accumulate((e for _, e, _ in base), max))  # how far the spans up to each one go
     for m in _CANDIDATE.finditer(text):
         token = m[0]
-        if _MIXED.match(token) and not any(s < m.end() and m.start() < e for s, e, _ in base):
+        before = bisect_left(starts, m.end())
+        if _MIXED.match(token) and not (before and reach[before - 1] > m.start()):
             out.append((m.start(), m.end(), length_class(len(token)), level(token)))
     return out
 
@@ -175,10 +179,12 @@ def decided(found: DataFrame, rate: float) -> DataFrame:
 
 
 def find_secrets(docs: DataFrame, rate: float = 0.01) -> DataFrame:
-    """docs (any columns, text among them) with base, open and spans (s, e, k)."""
+    """docs (any columns, text among them) with base, open and spans (s, e, k), which replace columns of these names."""
     ship(docs.sparkSession)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", " + _ROW.partition(", ")[2]
-    return decided(staged(docs.mapInArrow(scan, schema), "secrets"), rate)
+    made = T.StructType.fromDDL(_ROW).fields[1:]
+    rest = docs.drop("spans", *(f.name for f in made))
+    schema = T.StructType([*rest.schema.fields, *made])
+    return decided(staged(rest.mapInArrow(scan, schema), "secrets"), rate)
 
 
 def joined(spans: str) -> Column:
@@ -216,6 +222,9 @@ def masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def masked(docs: DataFrame, rate: float = 0.01) -> DataFrame:
-    """docs with every secret in text replaced; all documents and columns stay."""
-    found = find_secrets(docs, rate).select(*docs.columns, "spans")
-    return found.mapInArrow(masks, docs.schema)
+    """docs with every secret in text replaced; all documents and columns stay, whatever their names."""
+    others = [c for c in docs.columns if c != "text"]
+    held = docs.select("text", F.struct(F.lit(0).alias("_none"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)]).alias("rest"))
+    found = find_secrets(held, rate).select("text", "rest", "spans")
+    out = found.mapInArrow(masks, held.schema)
+    return out.select(*[F.col("text") if c == "text" else F.col(f"rest.c{others.index(c)}").alias(c) for c in docs.columns])
