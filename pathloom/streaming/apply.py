@@ -36,16 +36,23 @@ def apply_filter(stream: DataFrame, filter_: Filter, keep: tuple[str, ...] = ())
     return rows.mapInArrow(lanes.evaluated(filter_, False), lanes.OUT).select("_out", "value", "error")
 
 
+def watermarked(stream: DataFrame, time: str, late: str) -> DataFrame:
+    """Watermarks need an instant: a time without zone is read in the session's zone."""
+    if dict(stream.dtypes)[time] == "timestamp_ntz":
+        stream = stream.withColumn(time, F.col(time).cast("timestamp"))
+    return stream.withWatermark(time, late)
+
+
 def windowed_counts(stream: DataFrame, time: str, keys: list[str | Column], width: str, slide: str | None = None, late: str = "10 minutes", **sums: str) -> DataFrame:
     """Counts and sums for each event-time window and key; rows later than ``late`` are left out."""
-    own = stream.withWatermark(time, late)
+    own = watermarked(stream, time, late)
     window = F.window(time, width, slide) if slide else F.window(time, width)
     return own.groupBy(window, *keys).agg(F.count("*").alias("n"), *[F.sum(c).alias(name) for name, c in sums.items()])
 
 
 def sessions(stream: DataFrame, time: str, keys: list[str | Column], gap: str, late: str = "10 minutes") -> DataFrame:
     """Counts for each session: events of a key no further apart than ``gap``."""
-    return stream.withWatermark(time, late).groupBy(F.session_window(time, gap), *keys).agg(F.count("*").alias("n"))
+    return watermarked(stream, time, late).groupBy(F.session_window(time, gap), *keys).agg(F.count("*").alias("n"))
 
 
 def write_lines(outputs: DataFrame, folder: str, checkpoint: str, once: bool = True):
