@@ -54,7 +54,7 @@ CASES = [
     ("ltrimstr(\"a\"), rtrimstr(\"c\"), startswith(\"ab\")", '"abc"', ['"bc"', '"ab"', "true"]),
     ("indices(\", \"), index(\"b\"), rindex(\"b\")", '"a, b, b"', ["[1,4]", "3", "6"]),
     ("contains([\"b\"]), inside([\"abc\", 1])", '["abc"]', ["true", "true"]),
-    ('test("B"; "i"), [scan("[a-z]")], sub("a"; "x"), gsub("(?<c>[ab])"; "<" + .c + ">")', '"ab"', ["true", '["a","b"]', '"xb"', '"<ab><ab>"']),
+    ('test("B"; "i"), [scan("[a-z]")], sub("a"; "x"), gsub("(?<c>[ab])"; "<" + .c + ">")', '"ab"', ["true", '["a","b"]', '"xb"', '"<a><b>"']),
     ('capture("(?<y>[0-9]+)-(?<m>[0-9]+)")', '"2024-05"', ['{"y":"2024","m":"05"}']),
     ("floor, ceil, sqrt, fabs", "2.25", ["2", "3", "1.5", "2.25"]),
     ("pow(.; 3), log2, exp2", "2", ["8", "1", "4"]),
