@@ -15,7 +15,7 @@ import numpy as np
 
 #: Unicode White_Space, as the vocabularies' patterns read \\s.
 WHITE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 LONGEST = 64
 
 
@@ -78,7 +78,6 @@ class Encoder:
         # Where white space is dropped a piece is a word; else it is the white space before a word and the word.
         self.drops = not self.tokenizer.encode(" ", add_special_tokens=False).ids
         self.pieces = re.compile(f"[^{WHITE}]+" if self.drops else f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
-        self.parts = Memo(self.part)
         self.memo = Memo(self.piece)
 
     @classmethod
@@ -103,7 +102,8 @@ class Encoder:
         elif not _SIMPLE.match(piece):
             return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
         found = _DROPPING.findall(piece.lower()) if self.drops else _KEEPING.findall(piece)
-        return b"".join(map(self.parts.__getitem__, found))
+        # A part is a piece of its own: most are words that the memo has already.
+        return self.part(found[0]) if len(found) == 1 else b"".join(map(self.memo.__getitem__, found))
 
     def encode(self, text: str | None) -> bytes:
         return b"".join(map(self.memo.__getitem__, self.pieces(text))) if text else b""
