@@ -36,6 +36,7 @@ from pathloom.llm.packing import vocabulary
 from pathloom.llm.tokens import Encoder
 
 REACH, LEAST, MOST, MASK = 16, 128, 4096, (1 << 9) - 1
+ROWS_AT_ONCE = 2048
 _GEAR = np.random.default_rng(7).integers(1, 2**63, 1 << 12, dtype=np.uint64) | np.uint64(1)
 _CUT = "deal long, kind string, name binary, data binary, doc_id long, n_tokens long, names array<binary>, lengths array<long>"
 _CUT_ARROW = pa.schema([("deal", pa.int64()), ("kind", pa.string()), ("name", pa.binary()), ("data", pa.binary()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("names", pa.list_(pa.binary())), ("lengths", pa.list_(pa.int64()))])
@@ -83,8 +84,11 @@ def tokenized(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, seen = Encoder.of(path), set()
         kind, end = f"<u{encoder.width}", np.array([end_id], dtype="<u4").tobytes()
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _CUT_ARROW)], schema=_CUT_ARROW)
+
+        rows: list[tuple] = []
         for batch in batches:
-            rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = np.frombuffer(encoder.encode(text) + end, dtype="<u4")
                 names, lengths, at = [], [], 0
@@ -99,8 +103,11 @@ def tokenized(path: str, end_id: int):
                 root = merkle(names)
                 deal = int.from_bytes(digest(f"{doc_id}".encode() + root)[:8], "little", signed=True)
                 rows.append((deal, "recipe", root, None, doc_id, len(ids), names, lengths))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _CUT_ARROW)], schema=_CUT_ARROW)
+                if len(rows) >= ROWS_AT_ONCE:
+                    yield made(rows)
+                    rows = []
+        if rows:
+            yield made(rows)
 
     return run
 
