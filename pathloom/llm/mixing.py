@@ -154,6 +154,8 @@ def remixed(docs: DataFrame, weights: tuple = (5, 2, 1), limit: int = 3, block:
     spans = spans.select("_id", "_key", F.col("_n").alias("_m"), "spans")
     joined = full.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")) & (F.col("_n") == F.col("_m")))
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
-    cut = F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(words, (s["first"] + 1).cast("int"), s["words"].cast("int")))), " ")
+    # The words are bound once by an outer transform: inside the inner one they would be split again for every span.
+    taken = lambda w: F.flatten(F.transform("spans", lambda s: F.slice(w, (s["first"] + 1).cast("int"), s["words"].cast("int"))))
+    cut = F.array_join(F.transform(F.array(words), taken)[0], " ")
     text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(cut)
     return joined.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
