@@ -128,6 +128,7 @@ def test_remixed_words_equal_taken(spark, docs, sf_dir):
     got = Counter()
     for r in mixing.remixed(docs_df).collect():
         got[r.doc_id] += len(WORD.findall(r.text))
+        assert r.n_chars == len(r.text)
     assert {k: v for k, v in want.items() if v} == dict(got)
 
 
