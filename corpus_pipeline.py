@@ -14,6 +14,7 @@ from pathloom.llm.mixing import remixed
 from pathloom.llm.packing import pack, vocabulary
 from pathloom.llm.rules import kept
 from pathloom.llm.secrets import masked
+from pathloom.llm.similar import without_near_copies
 from pathloom.llm.simhash import near_duplicates
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -25,12 +26,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group. Rows that repeat its id count as that document."""
+    """The document with the smallest id of every group of op3's contract, whose links aren't verified. Not in STAGES."""
     classes = near_duplicates(docs)
     first = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
     return docs.select(COLUMNS).join(first, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
 
 
+def similar_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of near copies (five-word shingles, similarity 0.8, verified) the document with the smallest id."""
+    return without_near_copies(docs.select(COLUMNS))
+
+
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets replaced by their kind."""
     return masked(docs.select(COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))
@@ -48,7 +54,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [
     ("quality_rules", quality_rules),
-    ("near_dedup", near_dedup),
+    ("near_dedup", similar_dedup),
     ("mask_secrets", mask_secrets),
     ("mix_sources", mix_sources),
     ("pack_sequences", pack_sequences),

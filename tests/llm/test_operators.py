@@ -449,3 +449,27 @@ def test_pipeline_stage_by_stage(spark, sf_dir, docs):
     packed = corpus_pipeline.pack_sequences(spark, mixed, sf_dir).collect()
     encoder = tokens.Encoder(packing.vocabulary("byte_bpe_50k.json"))
     assert sum(p.length for p in packed) == sum(len(encoder.encode(r.text)) // 4 + 1 for r in mixed.collect())
+
+
+def five_words(text):
+    words = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return {hash(" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_pipeline_dedup_stage_drops_near_copies_and_keeps_clean_documents(spark, sf_dir):
+    rng = random.Random(8)
+    made = []
+    for _ in range(60):  # a text, two near copies of it, and one that shares half of it
+        words = [f"w{rng.randrange(3000)}" for _ in range(200)]
+        near = [w if rng.random() > 0.01 else "changed" for w in words]
+        made += [" ".join(words), " ".join(near), "  ".join(near[:-3]).upper(), " ".join(words[:100] + [f"v{rng.randrange(3000)}" for _ in range(100)])]
+    stage = dict(corpus_pipeline.STAGES)["near_dedup"]
+    for rows in (table(spark, [*made, *ODD]), spark.read.parquet(f"{sf_dir}/documents.parquet")):
+        texts = {r.doc_id: r.text for r in rows.collect()}
+        got = {r.doc_id for r in stage(spark, rows, sf_dir).collect()}
+        ids = sorted(texts)
+        grams = {k: five_words(t) for k, t in texts.items()}
+        both = lambda a, b: len(grams[a] & grams[b])
+        near = {b: [a for a in ids if a < b and both(a, b) >= 0.8 * (len(grams[a]) + len(grams[b]) - both(a, b))] for b in ids}
+        assert not [b for b in got if set(near[b]) & got]
+        assert not [b for b in ids if b not in got and not near[b]]
