@@ -2,7 +2,7 @@
 
 Both vocabularies split texts at white space before merging, so a text's ids are its pieces' ids in
 order. Pieces repeat: each distinct one goes through the library once and is then looked up. Strings
-of special tokens inside a text are ordinary text.
+of added tokens inside a text give their ids, as the library does by default; the text between them is split.
 """
 
 from __future__ import annotations
@@ -79,6 +79,10 @@ class Encoder:
         self.drops = not self.tokenizer.encode(" ", add_special_tokens=False).ids
         self.pieces = re.compile(f"[^{WHITE}]+" if self.drops else f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
         self.memo = Memo(self.piece)
+        # Added tokens of both vocabularies are taken as they stand, before anything else: the longest first.
+        added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.added = {t: array("I", [i]).tobytes() for t, i in added.items()}
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")").split if added else None
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -106,6 +110,11 @@ class Encoder:
         return self.part(found[0]) if len(found) == 1 else b"".join(map(self.memo.__getitem__, found))
 
     def encode(self, text: str | None) -> bytes:
+        if text and any(t in text for t in self.added):
+            return b"".join(self.added.get(x) or self.plain(x) for x in self.split(text))
+        return self.plain(text)
+
+    def plain(self, text: str | None) -> bytes:
         return b"".join(map(self.memo.__getitem__, self.pieces(text))) if text else b""
 
 

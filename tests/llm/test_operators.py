@@ -243,6 +243,15 @@ def test_encoder_equals_library(library, name, docs):
         assert np.frombuffer(encoder.encode(text), dtype="<u4").tolist() == library[name](text), repr(text)[:200]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_gives_ids_of_added_tokens(library, name):
+    encoder, rng = tokens.Encoder(packing.vocabulary(name)), random.Random(6)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", " ", "\n", "a", "don't", "\u00e9", "\u0130", "e\u0301", "'s"]
+    made = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 12))) for _ in range(1000)]
+    for text in ["a <|endoftext|> b", "<|startoftext|>", *made]:
+        assert np.frombuffer(encoder.encode(text), dtype="<u4").tolist() == library[name](text), repr(text)
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, dtype="<u4").tobytes())
 
