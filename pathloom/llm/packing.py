@@ -1,13 +1,17 @@
 """Mixture-controlled packing into fixed-length sequences.
 
-All tokens get places 0, 1, 2, ... in one global stream; sequence k holds places 1024k to 1024k+1023,
-and the last, partial sequence is split into powers of two, so nothing is padded. A first pass
-writes documents as blocks of token ids (whole rows, in the shared folder), with a queue for each
-source in a block. Sums over blocks give every block its first place and, for each source, how many
-tokens went before: that is the deficit it starts with. In the second pass each block fills windows
-of whole sequences by deficit round-robin: a source's quantum is what its target proportion has
-earned by the window's end less what it was served, so deficits carry over windows, blocks and
-partitions. A window whose sources can't cover it is filled by those that still have a backlog.
+Each source's tokens, in input order, are one stream, and every window (some whole sequences) takes from
+each stream what its target proportion has earned by the window's end less what it was served: deficit
+round-robin in closed form, over the whole table and not per task. With weights, a source that runs
+out leaves its share to the others by weight; what has weight 0 comes last, by size. So windows don't
+depend on how the table is laid out: any window of the stream holds the targets within a token a source.
+
+A first pass writes blocks of token ids to the shared folder and counts each source's tokens per
+partition; sums over partitions give a partition's place in each stream. The second pass cuts
+documents where their stream enters the next window and deals the pieces out by window; a window's
+pieces are spread over it by their place in their source's part, so that its sequences are mixed too.
+Tokens get places 0, 1, 2, ... in window order; sequence k holds places 1024k to 1024k+1023, and the
+last, partial sequence is split into powers of two, so nothing is padded.
 
 Targets are the corpus proportions unless weights are given. Documents are cut freely.
 
@@ -18,7 +22,9 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -27,28 +33,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import running_before, ship, staged
+from pathloom.llm.common import partitions, ship, staged
 from pathloom.llm.tokens import Encoder, crc
 
 BLOCK = 1 << 19
-STAGE = "block long, part long, tokens long, doc_ids array<long>, starts array<long>, lengths array<long>, doc_tokens array<long>, sources array<string>, ids binary"
+STAGE = "part long, doc_ids array<long>, starts array<long>, lengths array<long>, doc_tokens array<long>, ats array<long>, sources array<string>, ids binary"
+CUT = "window long, rank double, source string, at long, doc_id long, start long, doc_tokens long, ids binary"
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string, ids array<long>"
 
 
 def tokenized_blocks(path: str, end_id: int, block: int = BLOCK):
-    schema = pa.schema([("block", pa.int64()), ("part", pa.int64()), ("tokens", pa.int64())] + [(n, pa.list_(pa.int64())) for n in ("doc_ids", "starts", "lengths", "doc_tokens")] + [("sources", pa.list_(pa.string())), ("ids", pa.binary())])
+    """Blocks of documents' ids; ats: where a piece stands among its source's tokens in this partition."""
+    schema = pa.schema([("part", pa.int64())] + [(n, pa.list_(pa.int64())) for n in ("doc_ids", "starts", "lengths", "doc_tokens", "ats")] + [("sources", pa.list_(pa.string())), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = Encoder.of(path), TaskContext.get().partitionId()
         kind, end = f"<u{encoder.width}", np.array([end_id], dtype="<u4").tobytes()
         rows: list[tuple] = []
-        held, made = 0, 0
+        held, so_far = 0, Counter()
 
         def flush() -> pa.RecordBatch:
-            nonlocal rows, held, made
-            ids = np.concatenate([r[5] for r in rows]).astype(kind).tobytes()
-            cols = [[(part << 32) + made], [part], [held], *([[r[i] for r in rows]] for i in (0, 1, 2, 3, 4)), [ids]]
-            rows, held, made = [], 0, made + 1
+            nonlocal rows, held
+            ids = np.concatenate([r[6] for r in rows]).astype(kind).tobytes()
+            cols = [[part], *([[r[i] for r in rows]] for i in range(6)), [ids]]
+            rows, held = [], 0
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
         for batch in batches:
@@ -57,7 +65,8 @@ def tokenized_blocks(path: str, end_id: int, block: int = BLOCK):
                 at = 0
                 while at < len(ids):
                     piece = ids[at : at + block - held]
-                    rows.append((doc_id, at, len(piece), len(ids), source, piece))
+                    rows.append((doc_id, at, len(piece), len(ids), so_far[source], source, piece))
+                    so_far[source] += len(piece)
                     held, at = held + len(piece), at + len(piece)
                     if held == block:
                         yield flush()
@@ -77,30 +86,83 @@ def tail(total: int, size: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def serve(need: int, earned: dict, backlog: dict, weight: dict) -> dict:
-    """Tokens for each source: what its deficit allows, then the rest by weight among sources with a backlog."""
-    order = sorted(backlog, key=lambda s: (-earned[s], s or "", s is None))
-    given = {s: min(max(int(earned[s]), 0), backlog[s]) for s in order}
-    excess = sum(given.values()) - need
-    for s in reversed(order):  # the smallest deficits wait
-        if excess <= 0:
-            break
-        cut = min(excess, given[s])
-        given[s], excess = given[s] - cut, excess - cut
-    lack = need - sum(given.values())
-    while lack > 0:
-        open_ = [s for s in order if given[s] < backlog[s]]
-        whole = sum(weight[s] for s in open_) or 1
-        share = lack
-        for s in open_:
-            more = min(max(1, int(share * weight[s] / whole)), backlog[s] - given[s], lack)
-            given[s], lack = given[s] + more, lack - more
-    return given
-
-
-def packed_blocks(total: int, size: int, window: int, width: int, with_ids: bool):
-    """Pieces of each block. A row: the block, its first place, and for each source of it (tokens before, share of all)."""
-    last = tail(total, size)
+class Shares:
+    """How many of each source's tokens the first windows hold. sizes: all tokens of each source."""
+
+    def __init__(self, sizes: dict, weights: dict | None, window: int):
+        self.sizes, self.window, self.total = sizes, window, sum(sizes.values())
+        self.phases: list[tuple[Fraction, dict]] = []  # place from which on: source -> (tokens served by then, rate)
+        at, left = Fraction(0), {s: Fraction(n) for s, n in sizes.items() if n}
+        served = dict.fromkeys(left, Fraction(0))
+        while left:
+            weight = {s: Fraction((weights or sizes).get(s if not weights or s is not None else "", 0)) for s in left}
+            if not sum(weight.values()):
+                weight = {s: Fraction(sizes[s]) for s in left}
+            whole = sum(weight.values())
+            rate = {s: w / whole for s, w in weight.items()}
+            self.phases.append((at, {s: (served[s], rate.get(s, Fraction(0))) for s in served}))
+            span = min(left[s] / r for s, r in rate.items() if r)
+            for s, r in rate.items():
+                left[s], served[s] = left[s] - span * r, served[s] + span * r
+            at, left = at + span, {s: n for s, n in left.items() if n}
+        self.windows = -(-self.total // window)
+
+    def before(self, source: str | None, k: int) -> int:
+        """Tokens of source in the first k windows."""
+        place = min(k * self.window, self.total)
+        if place == self.total:
+            return self.sizes[source]
+        start, of = next(p for p in reversed(self.phases) if p[0] <= place)
+        served, rate = of[source]
+        return int(served + (place - start) * rate)  # rounds down: a window is short by less than a token a source
+
+    def place(self, k: int) -> int:
+        return sum(self.before(s, k) for s in self.sizes)
+
+    def window_of(self, source: str | None, at: int) -> int:
+        low, high = 0, self.windows - 1
+        while low < high:
+            middle = (low + high) // 2
+            low, high = (low, middle) if self.before(source, middle + 1) > at else (middle + 1, high)
+        return low
+
+
+def cut_blocks(shares: Shares, width: int):
+    """Blocks with their partition's place in each source's stream -> pieces, each in one window."""
+
+    def pieces(row: dict) -> Iterator[tuple]:
+        base = {m["source"]: m["before"] for m in row["bases"]}
+        open_: dict = {}  # source -> (window, its first and end token of the source)
+        here = 0
+        for doc_id, start, length, tokens, at, source in zip(*(row[c] for c in ("doc_ids", "starts", "lengths", "doc_tokens", "ats", "sources"))):
+            at += base[source]
+            while length:
+                if source not in open_:
+                    k = shares.window_of(source, at)
+                    open_[source] = (k, shares.before(source, k), shares.before(source, k + 1))
+                k, first, end = open_[source]
+                if at >= end:
+                    open_[source] = (k + 1, end, shares.before(source, k + 2))
+                    continue
+                n = min(length, end - at)
+                rank = (at - first + n / 2) / (end - first)
+                yield k, rank, source, at, doc_id, start, tokens, row["ids"][here * width : (here + n) * width]
+                at, start, length, here = at + n, start + n, length - n, here + n
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("window", "rank", "source", "at", "doc_id", "start", "doc_tokens", "ids")
+        types = [pa.int64(), pa.float64(), pa.string()] + [pa.int64()] * 4 + [pa.binary()]
+        for batch in batches:
+            for i in range(batch.num_rows):
+                made = list(pieces(batch.slice(i, 1).to_pylist()[0]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), types)], names=names)
+
+    return run
+
+
+def packed_windows(shares: Shares, size: int, width: int, with_ids: bool):
+    """Pieces sorted by window and rank -> pieces of sequences."""
+    last = tail(shares.total, size)
     names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", "ids")
     types = [pa.int64()] * 7 + [pa.string(), pa.list_(pa.int64())]
 
@@ -109,43 +171,20 @@ def packed_blocks(total: int, size: int, window: int, width: int, with_ids: bool
             return place - place % size, size, place // size
         return next(x for x in reversed(last) if x[0] <= place)
 
-    def pieces(row: dict) -> Iterator[tuple]:
-        ids = np.frombuffer(row["ids"], dtype=f"<u{width}")
-        served = {m["source"]: m["before"] for m in row["mixture"]}
-        weight = {m["source"]: m["share"] for m in row["mixture"]}
-        queues: dict = {s: [] for s in served}
-        backlog = dict.fromkeys(served, 0)
-        at = 0
-        for doc_id, start, length, tokens, source in zip(row["doc_ids"], row["starts"], row["lengths"], row["doc_tokens"], row["sources"]):
-            queues[source].append([doc_id, start, length, tokens, at])
-            backlog[source] += length
-            at += length
-        for q in queues.values():
-            q.reverse()
-        place, stop = row["base"], row["base"] + row["tokens"]
-        while place < stop:
-            until = min(stop, (place // window + 1) * window)
-            earned = {s: weight[s] * until - served[s] for s in served}
-            live = {s: n for s, n in backlog.items() if n}
-            given = serve(until - place, earned, live, weight)
-            for s in sorted(given, key=lambda x: (x is None, x or "")):
-                n = given[s]
-                served[s], backlog[s] = served[s] + n, backlog[s] - n
-                while n:
-                    head = queues[s][-1]
-                    first, room, sequence = bounds(place)
-                    length = min(n, head[2], first + room - place)
-                    own = ids[head[4] : head[4] + length]
-                    yield head[0], head[1], length, crc(own), head[3], sequence, place - first, s, own.tolist() if with_ids else None
-                    head[1], head[2], head[4] = head[1] + length, head[2] - length, head[4] + length
-                    if not head[2]:
-                        queues[s].pop()
-                    n, place = n - length, place + length
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        window, place = -1, 0
         for batch in batches:
-            for i in range(batch.num_rows):
-                made = list(pieces(batch.slice(i, 1).to_pylist()[0]))
+            made = []
+            for k, source, doc_id, start, tokens, data in zip(*(batch.column(c).to_pylist() for c in ("window", "source", "doc_id", "start", "doc_tokens", "ids"))):
+                if k != window:
+                    window, place = k, shares.place(k)
+                ids = np.frombuffer(data, dtype=f"<u{width}")
+                while len(ids):
+                    first, room, sequence = bounds(place)
+                    own, ids = ids[: first + room - place], ids[first + room - place :]
+                    made.append((doc_id, start, len(own), crc(own), tokens, sequence, place - first, source, own.tolist() if with_ids else None))
+                    start, place = start + len(own), place + len(own)
+            if made:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), types)], names=names)
 
     return run
@@ -160,25 +199,18 @@ def pack(docs: DataFrame, path: str, end_id: int = 0, size: int = 1024, window_s
     ship(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")
     blocks = staged(rows.mapInArrow(tokenized_blocks(path, end_id, block), STAGE), "pack-blocks")
-    by_source = blocks.select("block", "part", F.explode(F.arrays_zip("sources", "lengths")).alias("x"))
-    by_source = by_source.groupBy("block", "part", F.col("x.sources").alias("source")).agg(F.sum("x.lengths").alias("n"))
-    by_source = staged(by_source, "pack-sums")
-    total = by_source.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]  # one number
-    before = running_before(by_source, ["source"], "part", ["block"], "n", "before")
-    share = by_source.groupBy("source").agg(F.sum("n").alias("all"))
-    if weights:
-        whole = float(sum(weights.values()))
-        known = F.create_map(*[F.lit(x) for k, v in weights.items() for x in (k, float(v) / whole)])
-        share = share.select(F.col("source").alias("_s"), F.coalesce(F.element_at(known, F.coalesce("source", F.lit(""))), F.lit(0.0)).alias("share"))
-    else:
-        share = share.select(F.col("source").alias("_s"), (F.col("all") / F.sum("all").over(W.partitionBy())).alias("share"))
-    mixture = before.join(share, F.col("source").eqNullSafe(F.col("_s")))
-    mixture = mixture.groupBy(F.col("block").alias("_block")).agg(F.collect_list(F.struct("source", "before", "share")).alias("mixture"))
-    base = running_before(blocks.select("block", "part", "tokens").withColumn("all", F.lit(0)), ["all"], "part", ["block"], "tokens", "base")
-    plan = base.select(F.col("block").alias("_b"), "base").join(mixture, F.col("_b") == F.col("_block")).select("_block", "base", "mixture")
-    joined = blocks.join(plan, F.col("block") == F.col("_block")).select("base", "tokens", "doc_ids", "starts", "lengths", "doc_tokens", "sources", "ids", "mixture")
+    by_source = blocks.select("part", F.explode(F.arrays_zip("sources", "lengths")).alias("x"))
+    by_source = staged(by_source.groupBy("part", F.col("x.sources").alias("source")).agg(F.sum("x.lengths").alias("n")), "pack-sums")
+    sizes = {r.source: r.n for r in by_source.groupBy("source").agg(F.sum("n").alias("n")).collect()}  # a row a source
+    shares = Shares(dict(sorted(sizes.items(), key=lambda x: (x[0] is None, x[0] or ""))), weights, window_sequences * size)
+    up = W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    bases = by_source.withColumn("before", F.coalesce(F.sum("n").over(up), F.lit(0)))
+    bases = bases.groupBy(F.col("part").alias("_part")).agg(F.collect_list(F.struct("source", "before")).alias("bases"))
     width = Encoder.of(path).width
-    out = joined.mapInArrow(packed_blocks(total, size, window_sequences * size, width, with_ids), PIECE)
+    # A row a partition: the blocks need not move before they are cut.
+    cut = blocks.join(F.broadcast(bases), F.col("part") == F.col("_part")).drop("_part").mapInArrow(cut_blocks(shares, width), CUT)
+    dealt = cut.repartition(partitions(spark), "window").sortWithinPartitions("window", "rank", "source", "at")
+    out = dealt.mapInArrow(packed_windows(shares, size, width, with_ids), PIECE)
     return out if with_ids else out.drop("ids")
 
 

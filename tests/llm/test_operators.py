@@ -299,6 +299,25 @@ def test_packing_holds_the_proportions(spark):
     assert whole and all(abs(w["a"] / 4096 - 0.75) < 0.01 for w in whole)
 
 
+def test_packing_mixes_a_table_laid_out_by_source(spark, library):
+    texts = [f"alpha beta gamma {i} " * (20 + i % 7) for i in range(400)]
+    rows = table(spark, texts).withColumn("source", F.when(F.col("doc_id") < 200, "a").when(F.col("doc_id") < 300, "b")).orderBy("doc_id").repartitionByRange(8, "doc_id")
+    want = {i: library["byte_bpe_50k.json"](t) + [0] for i, t in enumerate(texts)}
+    total, sizes = sum(map(len, want.values())), Counter()
+    for i, ids in want.items():
+        sizes["a" if i < 200 else "b" if i < 300 else None] += len(ids)
+    for weights, share in ((None, {s: n / total for s, n in sizes.items()}), ({"a": 1, "b": 3}, {"a": 0.25, "b": 0.75, None: 0})):
+        made = packing.pack(rows, packing.vocabulary("byte_bpe_50k.json"), window_sequences=4, weights=weights, block=900).collect()
+        check_pieces(made, want)
+        window, by_sequence = defaultdict(Counter), defaultdict(set)
+        for p in made:
+            window[p.sequence_id // 4][p.source] += p.length
+            by_sequence[p.sequence_id].add(p.source)
+        lasting = min(int(sizes[s] / share[s]) for s in share if share[s]) // 4096  # windows until a source runs out
+        assert lasting > 2 and all(abs(window[k][s] - 4096 * share[s]) < 40 for k in range(lasting) for s in share)
+        assert all(len(by_sequence[q]) == sum(map(bool, share.values())) for q in range(4 * lasting))
+
+
 def test_op7(spark, sf_dir, docs, library):
     got = {r.doc_id: r for r in idstore.op7(spark, sf_dir).collect()}
     at = 0
