@@ -7,10 +7,11 @@ is inferred from the characters it uses, and a chi-squared test of uniformity ov
 a runs test about the alphabet's middle and a lag-1 serial-correlation test are combined by Fisher's
 method into one level of randomness.
 
-Whether a level is remarkable is decided from the whole corpus: every document gives one stretch of
-its own letters and digits as a decoy, at a place and of a length drawn by its hash. Candidates and
-decoys are counted by length class and level (a table of fixed size); a candidate's p-value is the
-share of decoys of its length class that look at least as random, and the Benjamini-Hochberg step
+Whether a level is remarkable is decided from the whole corpus. The letters and digits of every
+distinct text, without its patterns' spans and candidates, are cut from end to end into decoys of the
+length classes in turn, from a class drawn by its hash. Candidates and decoys of distinct texts are
+counted by length class and level (a table of fixed size), so copies count once; a candidate's p-value is
+the share of decoys of its length class that look at least as random, and the Benjamini-Hochberg step
 within each length class flags candidates at the false-discovery rate ``rate``. Texts are read once:
 candidates with their levels are written to the shared folder and decided from there.
 
@@ -23,9 +24,9 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
-import zlib
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -116,18 +117,23 @@ def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, i
     return out
 
 
-def decoy(text: str) -> tuple[int, int] | None:
-    """(length class, level) of a stretch of the text's own letters and digits."""
-    drawn = zlib.crc32(text.encode("utf-8", "surrogatepass"))
-    cls = drawn % len(LENGTHS)
-    need, at = LENGTHS[cls], (drawn >> 3) % max(1, len(text))
-    stretch = _JOINED.sub("", text[at : at + 6 * need])
-    if len(stretch) < need:
-        stretch = _JOINED.sub("", text[max(0, len(text) - 6 * need) :])
-    return (cls, level(stretch[:need])) if len(stretch) >= need else None
+def decoys(text: str, key: bytes, taken: list[tuple[int, int]]) -> list[int]:
+    """Codes of the stretches of the text's own letters and digits outside the spans taken."""
+    parts, at = [], 0
+    for start, end in sorted(taken):
+        parts.append(text[at:start] if start > at else "")
+        at = max(at, end)
+    line = _JOINED.sub("", "".join([*parts, text[at:]]))
+    cls, at, out = key[0] % len(LENGTHS), 0, []
+    for _ in range(len(LENGTHS)):  # until no class fits
+        while at + LENGTHS[cls] <= len(line):
+            out.append(cls * LEVELS + level(line[at : at + LENGTHS[cls]]))
+            at, cls = at + LENGTHS[cls], (cls + 1) % len(LENGTHS)
+        cls = (cls + 1) % len(LENGTHS)
+    return out
 
 
-_ROW = "doc_id long, base array<struct<s:long,e:long,k:string>>, open array<struct<s:long,e:long,c:long,v:long>>, decoy_class long, decoy_level long"
+_ROW = "doc_id long, base array<struct<s:long,e:long,k:string>>, open array<struct<s:long,e:long,c:long,v:long>>, decoy_key binary, decoys array<smallint>"
 _BASE = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64()), ("k", pa.string())]))
 _OPEN = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64()), ("c", pa.int64()), ("v", pa.int64())]))
 
@@ -135,15 +141,17 @@ _OPEN = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64()), ("c", pa.int64
 def scanned(text: str | None) -> tuple:
     text = text or ""
     base = base_spans(text)
-    drawn = decoy(text) or (None, None)
-    return [dict(zip("sek", x)) for x in base], [dict(zip("secv", x)) for x in candidates(text, base)], *drawn
+    found = candidates(text, base)
+    key = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+    drawn = decoys(text, key, [x[:2] for x in (*base, *found)])
+    return [dict(zip("sek", x)) for x in base], [dict(zip("secv", x)) for x in found], key, drawn
 
 
 def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         cols = list(zip(*map(scanned, batch.column("text").to_pylist()))) or [[]] * 4
-        made = [pa.array(c, t) for c, t in zip(cols, (_BASE, _OPEN, pa.int64(), pa.int64()))]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, "base", "open", "decoy_class", "decoy_level"])
+        made = [pa.array(c, t) for c, t in zip(cols, (_BASE, _OPEN, pa.binary(), pa.list_(pa.int16())))]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, "base", "open", "decoy_key", "decoys"])
 
 
 def thresholds(counted: list[tuple[int, int, int, int]], rate: float) -> dict[int, int]:
@@ -164,10 +172,12 @@ def thresholds(counted: list[tuple[int, int, int, int]], rate: float) -> dict[in
 
 def decided(found: DataFrame, rate: float) -> DataFrame:
     """found (as scan() gives, staged) with spans: base and flagged, by start and kind."""
-    empty = F.lit(0).cast("long")
-    own = found.select(F.explode("open").alias("x")).groupBy(F.col("x.c").alias("c"), F.col("x.v").alias("v")).agg(F.count("*").alias("n"), empty.alias("m"))
-    fake = found.where("decoy_class is not null").groupBy(F.col("decoy_class").alias("c"), F.col("decoy_level").alias("v")).agg(empty.alias("n"), F.count("*").alias("m"))
-    counted = [(r.c, r.v, r.n, r.m) for r in own.unionByName(fake).collect()]  # at most 2 * 6 * 64 rows
+    codes = F.transform("open", lambda x: (x["c"] * LEVELS + x["v"]).cast("smallint")).alias("codes")
+    single = found.select("decoy_key", codes, "decoys").dropDuplicates(["decoy_key"])
+    # Candidates' codes are made negative, so that one pass counts both.
+    both = F.concat(F.transform("codes", lambda x: (-1 - x).cast("int")), F.transform("decoys", lambda x: x.cast("int")))
+    rows = single.select(F.explode(both).alias("code")).groupBy("code").agg(F.count("*").alias("n")).collect()  # at most 2 * 6 * 64 rows
+    counted = [(*divmod(r.code, LEVELS), 0, r.n) if r.code >= 0 else (*divmod(-1 - r.code, LEVELS), r.n, 0) for r in rows]
     top = thresholds(counted, rate)
     highest = F.array(*[F.lit(top[c]) for c in range(len(LENGTHS))])
     flagged = F.filter("open", lambda x: x["v"] <= F.element_at(highest, (x["c"] + 1).cast("int")))
@@ -194,7 +204,7 @@ def joined(spans: str) -> Column:
 def op6(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ship(spark)
-    light = lambda batches: (b.select(["doc_id", "base", "open", "decoy_class", "decoy_level"]) for b in scan(batches))
+    light = lambda batches: (b.select(["doc_id", "base", "open", "decoy_key", "decoys"]) for b in scan(batches))
     found = decided(staged(docs.mapInArrow(light, _ROW), "secrets"), 0.01)
     n = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long")
     return found.select(

@@ -376,6 +376,20 @@ def test_random_strings_are_found_and_masked(spark):
     assert all(got[i].text == texts[i] for i in range(20, 3000))
 
 
+def test_random_strings_are_found_beside_a_hot_source_and_copies(spark):
+    rng = random.Random(12)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda n: "".join(rng.choice(alphabet) for _ in range(n - 2)) + "a1"
+    prose = lambda: " ".join(rng.choice(["the", "river", "winter", "lantern", "of", "stone", "window", "and", "harbour"]) for _ in range(150))
+    keys = [key(40) for _ in range(20)]
+    texts = [f"{prose()} {k} {prose()}" for k in keys] + [prose() for _ in range(600)]
+    lock = [" ".join("%064x" % rng.getrandbits(256) for _ in range(20)) for _ in range(200)]  # a hot source of hashes
+    for more in ([], lock, [texts[0]] * 400):
+        got = {r.doc_id: r for r in secrets.masked(table(spark, [*texts, *more])).collect()}
+        assert sum(k not in got[i].text for i, k in enumerate(keys)) >= 18
+        assert all(got[i].text == texts[i] for i in range(20, 620))
+
+
 # -- 8 -------------------------------------------------------------------------------------------
 def test_op8_held_out(spark):
     sf = "/root/testdata/sf0.01"
