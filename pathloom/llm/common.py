@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -23,11 +24,20 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))) if x)
 
 
+def ship_file(spark: SparkSession, path: str) -> None:
+    """Bring a file of the driver's to every executor, where SparkFiles.get finds it by its last name."""
+    sc = spark.sparkContext
+    if not any(f.rsplit("/", 1)[-1] == os.path.basename(path) for f in sc.listFiles):
+        sc.addFile(path)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder every executor sees: spark.checkpoint.dir, or one of our own where it is unset and all run here."""
     sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if not found:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="pathloom-")
         sc.setCheckpointDir(found)
     return f"{str(found).rstrip('/')}/pathloom"
@@ -37,13 +47,28 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_written: list[str] = []
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write once to the shared folder and read back: the lineage ends there, lost executors cost nothing."""
     path = fresh_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def staged_so_far() -> int:
+    return len(_written)
+
+
+def discard(spark: SparkSession, first: int, last: int) -> None:
+    """Remove the staged folders numbered first to last - 1, once nothing reads them any more."""
+    for i in range(first, last):
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written[i])
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import partitions, ship, staged
+from pathloom.llm.common import partitions, ship, ship_file, staged
 from pathloom.llm.tokens import Encoder, crc
 
 BLOCK = 1 << 19
@@ -197,6 +197,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 0, size: int = 1024, window_s
     """
     spark = docs.sparkSession
     ship(spark)
+    ship_file(spark, path)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")
     blocks = staged(rows.mapInArrow(tokenized_blocks(path, end_id, block), STAGE), "pack-blocks")
     by_source = blocks.select("part", F.explode(F.arrays_zip("sources", "lengths")).alias("x"))

@@ -7,15 +7,19 @@ of added tokens inside a text give their ids, as the library does by default; th
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from array import array
 
 import numpy as np
+from pyspark import SparkFiles
 
 #: Unicode White_Space, as the vocabularies' patterns read \\s.
 WHITE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-REMEMBERED = 600_000
+#: str.split() also splits at these, which are no white space to the vocabularies.
+NOT_WHITE = "\x1c\x1d\x1e\x1f"
+REMEMBERED = 200_000
 LONGEST = 64
 
 
@@ -41,7 +45,10 @@ _BYTES = _byte_letters()
 
 
 class Memo(dict):
-    """piece -> its ids as little-endian unsigned 32-bit integers. When full, entries not used since the last time go."""
+    """piece -> its ids as little-endian unsigned 32-bit integers, in two generations of at most ``most`` pieces.
+
+    When the young one is full it becomes the old one, and what the old one still held is forgotten.
+    """
 
     def __init__(self, make, most: int = REMEMBERED):
         super().__init__()
@@ -53,6 +60,7 @@ class Memo(dict):
             ids = self.make(piece)
         if len(piece) <= LONGEST:
             if len(self) >= self.most:
+                self.older = {}  # first, so that never more than two are held
                 self.older = dict(self)
                 self.clear()
             self[piece] = ids
@@ -86,8 +94,10 @@ class Encoder:
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
+        """The vocabulary at path, or the copy of it that Spark brought to this worker."""
         if path not in cls._made:
-            cls._made[path] = cls(path)
+            here = path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
+            cls._made = {path: cls(here)}  # one a worker: the memo is the largest thing it holds
         return cls._made[path]
 
     def ids(self, shown: str) -> bytes:
@@ -115,7 +125,10 @@ class Encoder:
         return self.plain(text)
 
     def plain(self, text: str | None) -> bytes:
-        return b"".join(map(self.memo.__getitem__, self.pieces(text))) if text else b""
+        if not text:
+            return b""
+        plainly = self.drops and not any(c in text for c in NOT_WHITE)
+        return b"".join(map(self.memo.__getitem__, text.split() if plainly else self.pieces(text)))
 
 
 def crc(ids: np.ndarray) -> int:
