@@ -7,7 +7,7 @@ files hold documents in ascending doc_id order, and the manifest has a Merkle ro
 file and one over all of them.
 
 Layout under the store's path (Parquet, any store that Spark reads and writes):
-``objects`` (chunks: name, data, ids as little-endian integers of ``width`` bytes; sorted by name),
+``objects`` (chunks: name, data, ids as little-endian integers of ``width`` bytes; recipes in no order),
 ``recipes`` (part, pos, doc_id, n_tokens, offset in the part, root, names, lengths), ``manifest`` (part,
 docs, tokens, root; the row of part -1 counts the parts' documents and tokens and has the root of their
 roots).
@@ -155,7 +155,7 @@ def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = []
         for kind, name in zip(batch.column("kind").to_pylist(), batch.column("name").to_pylist()):
             keep.append(kind != "chunk" or name != last)
-            last = name if kind == "chunk" else None
+            last = name if kind == "chunk" else last
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 
@@ -213,8 +213,9 @@ def write_store(docs: DataFrame, store: str, path: str, end_id: int = 1) -> None
     ship_file(spark, path)
     n = partitions(spark)
     cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tokenized(path, end_id), _CUT)
-    dealt = cut.repartition(n, "deal").sortWithinPartitions("kind", "name")
-    dealt.mapInArrow(once, _CUT).drop("deal").write.option("compression", "zstd").parquet(f"{store}/objects")
+    # deal has the first bytes of a chunk's name: a number, which Spark sorts by radix.
+    dealt = cut.repartition(n, "deal").sortWithinPartitions("deal", "name")
+    dealt.mapInArrow(once, _CUT).drop("deal").write.option("compression", "snappy").parquet(f"{store}/objects")
     recipes = spark.read.schema(_OBJECT).parquet(f"{store}/objects").where("kind = 'recipe'").select("doc_id", "n_tokens", "name", "names", "lengths")
     recipes = recipes.repartitionByRange(n, "doc_id", "name").sortWithinPartitions("doc_id", "name")
     recipes.mapInArrow(placed, _RECIPE).write.option("compression", "zstd").parquet(f"{store}/recipes")

@@ -19,13 +19,14 @@ from pyspark import SparkFiles
 WHITE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: str.split() also splits at these, which are no white space to the vocabularies.
 NOT_WHITE = "\x1c\x1d\x1e\x1f"
-REMEMBERED = 200_000
+REMEMBERED = 500_000
 LONGEST = 64
 
 
 #: Letters and other numbers of the first 384 code points, whose Unicode properties never change.
 LATIN_LETTERS = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f"
 LATIN_NUMBERS = r"0-9\xb2\xb3\xb9\xbc-\xbe"
+STOPS = ",.!?;:"
 ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
 _SIMPLE = re.compile(r"[\x00-\u012f\u0131-\u017f]*\Z")
 _MARK = f"[^{WHITE}{LATIN_LETTERS}{LATIN_NUMBERS}]"
@@ -55,9 +56,7 @@ class Memo(dict):
         self.make, self.most, self.older = make, most, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.older.get(piece)
-        if ids is None:
-            ids = self.make(piece)
+        ids = self.older.get(piece) or self.make(piece)
         if len(piece) <= LONGEST:
             if len(self) >= self.most:
                 self.older = {}  # first, so that never more than two are held
@@ -111,6 +110,8 @@ class Encoder:
             if self.drops:
                 if piece.isalpha():
                     return self.ids(piece.lower())
+                if piece[:-1].isalpha() and piece[-1] in STOPS:
+                    return self.memo[piece[:-1].lower()] + self.memo[piece[-1]]
             elif piece[0] == " " and piece[1:].isalpha():
                 return self.ids("\u0120" + piece[1:])
         elif not _SIMPLE.match(piece):
