@@ -32,12 +32,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pathloom.llm.common import fresh_path, partitions, ship, ship_file
 from pathloom.llm.packing import vocabulary
 from pathloom.llm.tokens import Encoder
 
+#: REACH: a power of two, at most LEAST.
 REACH, LEAST, MOST, MASK = 16, 128, 4096, (1 << 9) - 1
 BYTES_AT_ONCE, SEEN = 4 << 20, 50_000
 _GEAR = np.random.default_rng(7).integers(1, 2**63, 1 << 12, dtype=np.uint64) | np.uint64(1)
@@ -85,18 +87,22 @@ def merkle(leaves: list[bytes]) -> bytes:
     return tree.root()
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks: LEAST to MOST ids, where the hash of the last REACH ids meets the mask."""
-    n = len(ids)
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Places after which the hash of the last REACH ids meets the mask: the sum of their gears, each shifted by its age."""
+    rolled = _GEAR[ids & np.uint32(0xFFF)] * (ids.astype(np.uint64) + np.uint64(1))
+    reach = 1
+    while reach < REACH:  # a sum over 2k ids is that over the last k and, shifted, over the k before
+        rolled[reach:] += rolled[:-reach] << np.uint64(reach)
+        reach *= 2
+    return np.flatnonzero((rolled >> np.uint64(40)) & np.uint64(MASK) == 0) + 1
+
+
+def cuts(found: list[int], n: int) -> list[int]:
+    """Ends of a document's chunks of LEAST to MOST ids (the last may be shorter), at marks where it has them."""
     if n <= LEAST:
         return [n]
-    gear = _GEAR[ids & np.uint32(0xFFF)] * (ids.astype(np.uint64) + np.uint64(1))
-    rolled = gear.copy()
-    for k in range(1, REACH):
-        rolled[k:] += gear[:-k] << np.uint64(k)
-    marks = np.flatnonzero((rolled >> np.uint64(40)) & np.uint64(MASK) == 0) + 1
     out, last = [], 0
-    for mark in [*marks.tolist(), n]:
+    for mark in [*found, n]:
         while mark - last > MOST:
             last += MOST
             out.append(last)
@@ -111,21 +117,20 @@ def tokenized(path: str, end_id: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, seen = Encoder.of(path), set()
-        kind, end = f"<u{encoder.width}", np.array([end_id], dtype="<u4").tobytes()
-
-        def made(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _CUT_ARROW)], schema=_CUT_ARROW)
-
-        rows: list[tuple] = []
-        size = 0
-        for batch in batches:
-            for i in range(batch.num_rows):
-                doc_id, text = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                ids = np.frombuffer(encoder.encode(text) + end, dtype="<u4")
-                short = ids.astype(kind).tobytes()
+        width, kind, end = encoder.width, f"<u{encoder.width}", np.array([end_id], dtype="<u4").tobytes()
+
+        def made(doc_ids: list, streams: list[bytes]) -> pa.RecordBatch:
+            """Documents are cut together: no cut looks back over a document's first LEAST ids, REACH or more."""
+            ids = np.frombuffer(b"".join(streams), dtype="<u4")
+            sizes = np.fromiter(map(len, streams), dtype=np.int64, count=len(streams)) // 4
+            firsts = np.cumsum(sizes) - sizes
+            found = marks(ids)
+            bounds = np.searchsorted(found, np.append(firsts, len(ids)), "right").tolist()
+            short, rows = ids.astype(kind).tobytes(), []
+            for k, (doc_id, first, n) in enumerate(zip(doc_ids, firsts.tolist(), sizes.tolist())):
                 names, lengths, at = [], [], 0
-                for stop in cuts(ids):
-                    data = short[at * encoder.width : stop * encoder.width]
+                for stop in cuts((found[bounds[k] : bounds[k + 1]] - first).tolist(), n):
+                    data = short[(first + at) * width : (first + stop) * width]
                     names.append(name := digest(data))
                     lengths.append(stop - at)
                     at = stop
@@ -134,29 +139,26 @@ def tokenized(path: str, end_id: int):
                             seen.clear()
                         seen.add(name)
                         rows.append((int.from_bytes(name[:8], "little", signed=True), "chunk", name, data, None, None, None, None))
-                        size += len(data) + 100
                 root = merkle(names)
                 deal = int.from_bytes(digest(f"{doc_id}".encode() + root)[:8], "little", signed=True)
-                rows.append((deal, "recipe", root, None, doc_id, len(ids), names, lengths))
-                size += 100 + 60 * len(names)
-                if size >= BYTES_AT_ONCE:
-                    yield made(rows)
-                    rows, size = [], 0
-        if rows:
-            yield made(rows)
-
-    return run
+                rows.append((deal, "recipe", root, None, doc_id, n, names, lengths))
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _CUT_ARROW)], schema=_CUT_ARROW)
 
+        doc_ids, streams, size = [], [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    doc_ids.append(doc_id)
+                    streams.append(encoder.encode(text) + end)
+                    size += len(streams[-1])
+                    if size >= BYTES_AT_ONCE:
+                        yield made(doc_ids, streams)
+                        doc_ids, streams, size = [], [], 0
+        if streams:
+            yield made(doc_ids, streams)
 
-def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of chunks of one name, which come one after another, the first; recipes all."""
-    last = None
-    for batch in batches:
-        keep = []
-        for kind, name in zip(batch.column("kind").to_pylist(), batch.column("name").to_pylist()):
-            keep.append(kind != "chunk" or name != last)
-            last = name if kind == "chunk" else last
-        yield batch.filter(pa.array(keep, pa.bool_()))
+    return run
 
 
 def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,9 +215,10 @@ def write_store(docs: DataFrame, store: str, path: str, end_id: int = 1) -> None
     ship_file(spark, path)
     n = partitions(spark)
     cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tokenized(path, end_id), _CUT)
-    # deal has the first bytes of a chunk's name: a number, which Spark sorts by radix.
-    dealt = cut.repartition(n, "deal").sortWithinPartitions("deal", "name")
-    dealt.mapInArrow(once, _CUT).drop("deal").write.option("compression", "snappy").parquet(f"{store}/objects")
+    # deal is the start of a chunk's name: a number, which Spark compares fast. Tasks have left few copies of a name.
+    copy = F.row_number().over(W.partitionBy("deal", "name", "kind").orderBy("doc_id"))
+    unique = cut.repartition(n, "deal").withColumn("copy", copy).where("kind = 'recipe' or copy = 1").drop("deal", "copy")
+    unique.write.option("compression", "snappy").parquet(f"{store}/objects")
     recipes = spark.read.schema(_OBJECT).parquet(f"{store}/objects").where("kind = 'recipe'").select("doc_id", "n_tokens", "name", "names", "lengths")
     recipes = recipes.repartitionByRange(n, "doc_id", "name").sortWithinPartitions("doc_id", "name")
     recipes.mapInArrow(placed, _RECIPE).write.option("compression", "zstd").parquet(f"{store}/recipes")

@@ -96,3 +96,27 @@ def test_repeated_and_null_ids(spark, path):
     idstore.write_store(rows, store, path)
     got = idstore.read_store(spark, store, path).orderBy("start").collect()
     assert [(r.doc_id, r.start, r.n_tokens) for r in got] == [(None, 0, 1), (0, 1, 1), (1, 2, 3), (1, 5, 3)]
+
+
+def brute_cuts(ids):
+    """Each place judged alone, by the gears of its last ids."""
+    n, last, out = len(ids), 0, []
+    gear = [int(idstore._GEAR[i & 0xFFF]) * (i + 1) % 2**64 for i in ids]
+    for at in range(1, n + 1):
+        hashed = sum(gear[at - 1 - k] << k for k in range(min(idstore.REACH, at))) % 2**64
+        if at - last >= idstore.LEAST and hashed >> 40 & idstore.MASK == 0 or at - last == idstore.MOST or at == n:
+            out.append(at)
+            last = at
+    return out
+
+
+def test_cuts_equal_each_place_judged_alone(path):
+    rng = np.random.default_rng(4)
+    import pyarrow as pa
+
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 50_000, n)) for n in (0, 1, 40, 64, 300, 3000)] + ["a " * 10_000]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts)})
+    rows = [r for b in idstore.tokenized(path, 1)(iter([batch])) for r in b.to_pylist() if r["kind"] == "recipe"]
+    for r in rows:
+        ids = np.frombuffer(idstore.Encoder.of(path).encode(texts[r["doc_id"]]), dtype="<u4").tolist() + [1]
+        assert np.cumsum(r["lengths"]).tolist() == brute_cuts(ids)
