@@ -9,13 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import staged
+from pathloom.llm.common import discard, staged, staged_so_far
 from pathloom.llm.mixing import remixed
 from pathloom.llm.packing import pack, vocabulary
 from pathloom.llm.rules import kept
 from pathloom.llm.secrets import masked
 from pathloom.llm.similar import without_near_copies
-from pathloom.llm.simhash import near_duplicates
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -26,14 +25,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group of op3's contract, whose links aren't verified. Not in STAGES."""
-    classes = near_duplicates(docs)
-    first = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
-    return docs.select(COLUMNS).join(first, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
-
-
-def similar_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near copies (five-word shingles, similarity 0.8, verified) the document with the smallest id."""
+    """Of every group of near copies (SimHash, five-word shingles, similarity 0.8, verified) the document with the smallest id."""
     return without_near_copies(docs.select(COLUMNS))
 
 
@@ -48,13 +40,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 1024 tokens."""
-    return pack(docs, vocabulary("byte_bpe_50k.json"))
+    """Pieces of sequences of 1024 tokens, with their token ids."""
+    return pack(docs, vocabulary("byte_bpe_50k.json"), with_ids=True)
 
 
 STAGES = [
     ("quality_rules", quality_rules),
-    ("near_dedup", similar_dedup),
+    ("near_dedup", near_dedup),
     ("mask_secrets", mask_secrets),
     ("mix_sources", mix_sources),
     ("pack_sequences", pack_sequences),
@@ -64,7 +56,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages one after another; what a stage wrote for its own use goes once its result is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), staged_so_far()
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name)
+        now = staged_so_far()
+        discard(spark, before, now - 1)  # the last is the stage's result, which the next one reads
+        before = now - 1
     return STAGES[-1][1](spark, docs, sf_dir)

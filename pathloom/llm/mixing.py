@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import running_before, staged, word_count
+from pathloom.llm.common import partitions, running_before, staged, word_count
 
 ROUNDS = 12
 DOCS_A_BUCKET = 4096
@@ -76,6 +76,8 @@ def draw(per: DataFrame, shard_slots: int = 4096, seed: int = 17) -> DataFrame:
     counts = drawn.groupBy("shard", "rank").agg(F.count("*").alias("n"))
     counts = staged(counts.withColumn("shards", F.floor(F.col("shard") / SHARDS_A_GROUP)), "mix-counts")
     numbered = running_before(counts, ["rank"], "shards", ["shard"], "n", "before")
+    # A few rows make many slots: they are dealt out before, not after.
+    numbered = numbered.repartition(partitions(spark), "shard", "rank")
     own = numbered.select("shard", "rank", F.explode(F.sequence("before", F.col("before") + F.col("n") - 1)).alias("j"))
     # Over and under: where the draws of a source passed or missed its slots.
     got = counts.groupBy("rank").agg(F.sum("n").alias("got"))

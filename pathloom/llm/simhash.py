@@ -1,12 +1,12 @@
 """SimHash near-duplicate detection with bit-sliced comparison.
 
 Fingerprints: 64 majority bits over the XXH64 (seed 42) of all 3-word shingles. Equal fingerprints are
-merged first, so copies cost one row. Fingerprints within the radius agree wholly on one of
-``radius + 1`` bands, so each goes into one bucket a band. Within a bucket 64 rows form a block whose
-bits are stored as 64 vertical planes; a query compares with a whole block by one XOR a plane, feeding
-carry-save bitwise counters (ones, twos, over), and a (query, block) pair is abandoned once every
-lane exceeds the radius. A bucket larger than ``tile`` rows is cut into tiles, and every pair of tiles
-is a task of its own: no task holds a whole hot bucket and no link is lost.
+merged first, so copies cost one row. Fingerprints within the radius agree wholly on some blocks of bits, so each
+goes into one bucket for every choice of blocks, more and longer ones the more fingerprints there are.
+Within a bucket 64 rows form a block whose bits are stored as vertical planes; a query compares with
+a whole block by one XOR a plane, feeding carry-save bitwise counters, and a (query, block) pair is
+abandoned once every lane exceeds the radius. A bucket larger than ``tile`` rows is cut into tiles,
+and every pair of tiles is a bucket of its own: no task holds a whole hot bucket and no link is lost.
 
 A bucket emits a spanning star of each of its components, not all pairs. Components over all
 bands come from rounds of minimum-neighbour hooking and pointer jumping on DataFrames, each round
@@ -14,16 +14,18 @@ written to the shared folder.
 
 Defined cases: null or empty text has fingerprint zero and links like any other; fewer than three
 words make one shingle; a null doc_id never becomes a component id unless all its members' ids are
-null; repeated rows stay; an empty table gives no rows; other columns are ignored.
+null; long texts count whole, a part of their shingles in memory at a time; repeated rows stay; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.llm.common import partitions, ship, staged
@@ -63,54 +65,63 @@ def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def planes(fps: np.ndarray) -> np.ndarray:
     """Bit planes of blocks of 64 rows: planes[b, k] has bit b of rows 64k to 64k+63."""
-    padded = np.zeros(-(-len(fps) // 64) * 64, dtype=np.uint64)
-    padded[: len(fps)] = fps
-    bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    n, words = fps.shape
+    padded = np.zeros((-(-n // 64) * 64, words), dtype=np.uint64)
+    padded[:n] = fps
+    bits = np.unpackbits(padded.view(np.uint8), axis=1, bitorder="little")
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view(np.uint64)
 
 
-def within(fps: np.ndarray, ends: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows i < j < ends[i] whose fingerprints differ in at most ``radius`` (1 to 3) bits, in parts."""
-    if not 1 <= radius <= 3:
-        raise ValueError("radius: 1 to 3")
+def _above(counter: list[np.ndarray], over: np.ndarray, radius: int) -> np.ndarray:
+    """Lanes whose bitwise counter, or its overflow, is above radius."""
+    above, level = over.copy(), ~np.zeros_like(over)
+    for i in reversed(range(len(counter))):
+        if radius >> i & 1:
+            level &= counter[i]
+        else:
+            above |= level & counter[i]
+            level &= ~counter[i]
+    return above
+
+
+def within(fps: np.ndarray, firsts: np.ndarray, ends: np.ndarray, radius: int, at_once: int = PAIRS_AT_ONCE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows i, j with firsts[i] <= j < ends[i] whose fingerprints differ in at most radius bits, in parts."""
     n, sliced = len(fps), planes(fps)
     row = np.arange(n)
-    open_ = ends > row + 1
-    first, stop = (row[open_] + 1) // 64, (ends[open_] - 1) // 64 + 1
+    open_ = ends > firsts
+    first, stop = firsts[open_] // 64, (ends[open_] - 1) // 64 + 1
     counts, at = stop - first, 0
     query, whole = row[open_], np.cumsum(counts)
+    full = np.uint64(0xFFFFFFFFFFFFFFFF)
+    below = lambda m: np.where(m >= 64, full, (np.uint64(1) << np.minimum(m, np.uint64(63))) - np.uint64(1))
     while at < len(query):
-        # as many queries as make PAIRS_AT_ONCE (query, block) pairs, one at least
-        upto = max(at + 1, int(np.searchsorted(whole, (whole[at - 1] if at else 0) + PAIRS_AT_ONCE, "right")))
+        # as many queries as make at_once (query, block) pairs, one at least
+        upto = max(at + 1, int(np.searchsorted(whole, (whole[at - 1] if at else 0) + at_once, "right")))
         c = counts[at:upto]
         q = np.repeat(query[at:upto], c)
         k = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) + np.repeat(first[at:upto], c)
         at = upto
-        low = np.clip(q + 1 - 64 * k, 0, 64).astype(np.uint64)
+        low = np.clip(firsts[q] - 64 * k, 0, 64).astype(np.uint64)
         high = np.clip(ends[q] - 64 * k, 0, 64).astype(np.uint64)
-        full = np.uint64(0xFFFFFFFFFFFFFFFF)
-        below = lambda m: np.where(m >= 64, full, (np.uint64(1) << np.minimum(m, np.uint64(63))) - np.uint64(1))
         alive = below(high) & ~below(low)
-        own = fps[q]
-        one, two, over = (np.zeros(len(q), dtype=np.uint64) for _ in range(3))
-        for b in range(64):
-            bit = np.uint64(0) - (own >> np.uint64(b) & np.uint64(1))
-            differ = sliced[b][k] ^ bit
-            carry = one & differ
-            one ^= differ
-            over |= two & carry
-            two ^= carry
+        counter = [np.zeros(len(q), dtype=np.uint64) for _ in range(max(1, radius.bit_length()))]
+        over = np.zeros(len(q), dtype=np.uint64)
+        for b in range(len(sliced)):
+            bit = np.uint64(0) - (fps[q, b // 64] >> np.uint64(b % 64) & np.uint64(1))
+            carry = sliced[b][k] ^ bit
+            for i, plane in enumerate(counter):
+                counter[i], carry = plane ^ carry, plane & carry
+            over |= carry
             if b % 8 == 7:
-                beyond = over | (one & two if radius == 2 else two if radius == 1 else over)
-                keep = np.flatnonzero(alive & ~beyond)
+                alive &= ~_above(counter, over, radius)
+                keep = np.flatnonzero(alive)
                 if not len(keep):
                     break
                 if len(keep) < len(q):
-                    q, k, alive, own, one, two, over = (x[keep] for x in (q, k, alive, own, one, two, over))
+                    q, k, alive, over = (x[keep] for x in (q, k, alive, over))
+                    counter = [x[keep] for x in counter]
         else:
-            beyond = over | (one & two if radius == 2 else two if radius == 1 else over)
-            found = alive & ~beyond
-            bits = np.unpackbits(found.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            bits = np.unpackbits(alive.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             i, lane = np.nonzero(bits)
             yield q[i], 64 * k[i] + lane
 
@@ -128,60 +139,115 @@ def joined(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             label[jumped] = label[label][jumped]
 
 
-def bucket_stars(radius: int):
-    """Rows (bucket key columns, fp) sorted by bucket -> links (a, b): each row's component star in its bucket."""
+def by_bucket(work, at_once: int = ROWS_AT_ONCE):
+    """Sorted rows (band, key, x, y, side, further columns) -> what work gives for whole buckets, many at a time.
 
-    def links(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+    work gets the rows and the range of rows that each one is to be compared with: those after it in its
+    bucket, or, where two tiles meet (x < y), those of the other tile.
+    """
+
+    def whole(rows: pa.Table) -> pa.RecordBatch:
+        keys = np.stack([rows.column(c).to_numpy() for c in ("band", "key", "x", "y")], axis=1)
+        side = rows.column("side").to_numpy()
+        n = len(keys)
         change = np.flatnonzero(np.any(keys[1:] != keys[:-1], axis=1)) + 1
-        bounds = np.append(change, len(fps))
-        ends = bounds[np.searchsorted(bounds, np.arange(len(fps)), "right")]
-        label = np.arange(len(fps))
-        for i, j in within(fps, ends, radius):
-            label = joined(label, i, j)
-        moved = np.flatnonzero(label != np.arange(len(fps)))
-        a, b = fps[label[moved]].view(np.int64), fps[moved].view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        bounds = np.append(change, n)
+        bucket = np.searchsorted(bounds, np.arange(n), "right")
+        ends = bounds[bucket]
+        firsts = np.arange(n) + 1
+        apart = keys[:, 2] != keys[:, 3]
+        if apart.any():
+            other = np.zeros(len(bounds) + 1, dtype=np.int64)
+            np.add.at(other, bucket, side == 0)
+            other = np.append(0, bounds)[bucket] + other[bucket]  # where the bucket's second tile begins
+            firsts = np.where(apart, np.where(side == 0, other, ends), firsts)
+        return work(rows, firsts, ends)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[pa.RecordBatch] = []
         size = 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1))
-            size += batch.num_rows
-            if size >= ROWS_AT_ONCE:
-                rows = np.concatenate(held)
-                same = np.all(rows[:, :-1] == rows[-1, :-1], axis=1)
-                open_ = int(np.argmax(same))  # the last bucket may go on
-                if open_:
-                    yield links(rows[:open_, :-1], np.ascontiguousarray(rows[:open_, -1]).view(np.uint64))
-                held, size = [rows[open_:]], len(rows) - open_
+            for at in range(0, batch.num_rows, at_once):
+                part = batch.slice(at, at_once)
+                held.append(part)
+                size += part.num_rows
+                if size >= at_once:
+                    rows = pa.Table.from_batches(held).combine_chunks()
+                    same = np.ones(rows.num_rows, dtype=bool)
+                    for c in ("band", "key", "x", "y"):
+                        column = rows.column(c).to_numpy()
+                        same &= column == column[-1]
+                    open_ = int(np.argmax(same))  # the last bucket may go on
+                    if open_:
+                        yield whole(rows.slice(0, open_))
+                        rows = rows.slice(open_)
+                    held, size = rows.to_batches(), rows.num_rows
         if size:
-            rows = np.concatenate(held)
-            yield links(rows[:, :-1], np.ascontiguousarray(rows[:, -1]).view(np.uint64))
+            yield whole(pa.Table.from_batches(held).combine_chunks())
 
     return run
 
 
-def near_links(distinct: DataFrame, radius: int = 3, tile: int = 1024) -> DataFrame:
-    """distinct (fp) -> links (a, b) that span the same components as all pairs within the radius."""
-    spark = distinct.sparkSession
-    bands = radius + 1
-    width = 64 // bands
-    keys = F.array(*[F.shiftrightunsigned("fp", k * width).bitwiseAND((1 << width) - 1 if k < bands - 1 else (1 << (64 - k * width)) - 1) for k in range(bands)])
-    banded = distinct.select("fp", F.posexplode(keys).alias("band", "key"))
+def bucket_stars(radius: int):
+    """Buckets of (fp) -> links (a, b): each row's component star in its bucket."""
+
+    def links(rows: pa.Table, firsts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+        fps = rows.column("fp").to_numpy()
+        label = np.arange(len(fps))
+        for i, j in within(np.ascontiguousarray(fps).view(np.uint64)[:, None], firsts, ends, radius):
+            label = joined(label, i, j)
+        moved = np.flatnonzero(label != np.arange(len(fps)))
+        return pa.RecordBatch.from_arrays([pa.array(fps[label[moved]]), pa.array(fps[moved])], names=["a", "b"])
+
+    return by_bucket(links)
+
+
+def tiled(banded: DataFrame, own: Column, tile: int, order: list[str]) -> DataFrame:
+    """banded (band, key, further columns) dealt out by bucket; a bucket of over ``tile`` rows by pairs of its tiles.
+
+    own: a hash that deals a row to a tile. x and y are the tiles that meet, side whether a row is of the second.
+    """
     large = banded.groupBy("band", "key").agg(F.count("*").alias("m")).where(F.col("m") > tile)
-    large = large.select(F.col("band").alias("_band"), F.col("key").alias("_key"), F.ceil(F.col("m") * 2 / tile).alias("tiles"))
-    cut = banded.join(large, (F.col("band") == F.col("_band")) & (F.col("key") == F.col("_key")), "left")
-    own = F.pmod(F.xxhash64("fp", "band"), "tiles")
-    pairs = F.when(F.col("tiles").isNull(), F.array(F.struct(F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y")))).otherwise(
-        F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda t: F.struct(F.least(own, t).alias("x"), F.greatest(own, t).alias("y")))
+    large = large.select(F.col("band").alias("_band"), F.col("key").alias("_key"), F.ceil(F.col("m") * 2 / tile).alias("_tiles"))
+    cut = banded.join(large, (F.col("band") == F.col("_band")) & (F.col("key") == F.col("_key")), "left").withColumn("_own", F.pmod(own, "_tiles"))
+    zero = F.lit(0).cast("long")
+    pairs = F.when(F.col("_tiles").isNull(), F.array(F.struct(zero.alias("x"), zero.alias("y"), zero.alias("side")))).otherwise(
+        F.transform(
+            F.sequence(zero, F.col("_tiles") - 1),
+            lambda t: F.struct(F.least(F.col("_own"), t).alias("x"), F.greatest(F.col("_own"), t).alias("y"), (t < F.col("_own")).cast("long").alias("side")),
+        )
     )
-    tiled = cut.select("band", "key", F.explode(pairs).alias("p"), "fp")
-    tiled = tiled.select(F.col("band").cast("long"), "key", F.col("p.x").alias("x"), F.col("p.y").alias("y"), "fp")
-    dealt = tiled.repartition(partitions(spark), "band", "key", "x", "y").sortWithinPartitions("band", "key", "x", "y", "fp")
-    return dealt.mapInArrow(bucket_stars(radius), "a long, b long")
+    columns = [c for c in banded.columns if c not in ("band", "key")]
+    rows = cut.select(F.col("band").cast("long").alias("band"), "key", F.explode(pairs).alias("p"), *columns)
+    rows = rows.select("band", "key", F.col("p.x").alias("x"), F.col("p.y").alias("y"), F.col("p.side").alias("side"), *columns)
+    return rows.repartition(partitions(banded.sparkSession), "band", "key", "x", "y").sortWithinPartitions("band", "key", "x", "y", "side", *order)
+
+
+def tables(radius: int, rows: int) -> list[list[tuple[int, int]]]:
+    """Bit ranges (first bit, width) of every table's key: fingerprints within the radius agree on the whole key of one at least.
+
+    The 64 bits are cut into blocks; all but ``radius`` of them agree, and every choice of so many blocks is a
+    table. More blocks give longer keys: few enough are taken that a random bucket holds about 64 rows.
+    """
+    blocks = radius + 1
+    while blocks < 2 * radius + 1 and rows > 64 << 64 * (blocks - radius) // blocks:
+        blocks += 1
+    edges = [64 * i // blocks for i in range(blocks + 1)]
+    return [[(edges[i], edges[i + 1] - edges[i]) for i in chosen] for chosen in combinations(range(blocks), blocks - radius)]
+
+
+def near_links(distinct: DataFrame, radius: int = 3, tile: int = 1024, rows: int | None = None) -> DataFrame:
+    """distinct (fp) -> links (a, b) that span the same components as all pairs within the radius."""
+
+    def key(ranges: list[tuple[int, int]]) -> Column:
+        out = F.lit(0).cast("long")
+        for at, width in ranges:
+            out = F.shiftleft(out, width).bitwiseOR(F.shiftrightunsigned("fp", at).bitwiseAND((1 << width) - 1))
+        return out
+
+    keys = F.array(*[key(r) for r in tables(radius, distinct.count() if rows is None else rows)])
+    banded = distinct.select("fp", F.posexplode(keys).alias("band", "key"))
+    return tiled(banded, F.xxhash64("fp", "band"), tile, ["fp"]).mapInArrow(bucket_stars(radius), "a long, b long")
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:

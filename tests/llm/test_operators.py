@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pathloom.llm import chat, classifier, html, idstore, media, mixing, packing, queries, rules, secrets, simhash, tokens
+from pathloom.llm import chat, classifier, html, idstore, media, mixing, packing, queries, rules, secrets, similar, simhash, tokens
 from pathloom.llm.common import fresh_path
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -469,6 +469,26 @@ def test_every_query_on_odd_tables(spark, tmp_path, kind):
     corpus_pipeline.run(spark, sf).collect()
 
 
+def brute_groups(texts):
+    """Smallest id of each text's group: all pairs of similarity 0.8 or more are links."""
+    grams, root = {k: five_words(t) for k, t in texts.items()}, {k: k for k in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(texts)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            if min(len(grams[a]), len(grams[b])) >= 0.8 * max(len(grams[a]), len(grams[b])):
+                both = len(grams[a] & grams[b])
+                if both >= 0.8 * (len(grams[a]) + len(grams[b]) - both):
+                    x, y = sorted((find(a), find(b)))
+                    root[y] = x
+    return {k: find(k) for k in ids}
+
+
 def test_pipeline_stage_by_stage(spark, sf_dir, docs):
     """Rules, one document of each group, masks, the mix's words and the packed ids, each against brute force."""
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -476,8 +496,7 @@ def test_pipeline_stage_by_stage(spark, sf_dir, docs):
     verdict = {r.doc_id for r in rules.op9(spark, sf_dir).where("kept").collect()}
     assert sorted(r.doc_id for r in good.collect()) == sorted(verdict)
     single = corpus_pipeline.near_dedup(spark, good, sf_dir).cache()
-    roots = brute_components({k: brute_fingerprint(docs[k].text) for k in verdict})
-    assert sorted(r.doc_id for r in single.collect()) == sorted(set(roots.values()))
+    assert sorted(r.doc_id for r in single.collect()) == sorted(set(brute_groups({k: docs[k].text for k in verdict}).values()))
     safe = corpus_pipeline.mask_secrets(spark, single, sf_dir).cache()
     assert safe.columns == corpus_pipeline.COLUMNS and safe.count() == single.count()
     assert not any(brute_base(r.text) for r in safe.collect() if not re.search(r"(?i)(password|passwd|secret|token|api_?key)", r.text))
@@ -508,10 +527,40 @@ def test_pipeline_dedup_stage_drops_near_copies_and_keeps_clean_documents(spark,
     stage = dict(corpus_pipeline.STAGES)["near_dedup"]
     for rows in (table(spark, [*made, *ODD]), spark.read.parquet(f"{sf_dir}/documents.parquet")):
         texts = {r.doc_id: r.text for r in rows.collect()}
-        got = {r.doc_id for r in stage(spark, rows, sf_dir).collect()}
-        ids = sorted(texts)
-        grams = {k: five_words(t) for k, t in texts.items()}
-        both = lambda a, b: len(grams[a] & grams[b])
-        near = {b: [a for a in ids if a < b and both(a, b) >= 0.8 * (len(grams[a]) + len(grams[b]) - both(a, b))] for b in ids}
-        assert not [b for b in got if set(near[b]) & got]
-        assert not [b for b in ids if b not in got and not near[b]]
+        assert {r.doc_id for r in stage(spark, rows, sf_dir).collect()} == set(brute_groups(texts).values())
+
+
+def test_dedup_joins_what_the_first_links_leave_apart(spark, monkeypatch):
+    """A chain of near copies, and a hot group around one original, cut into tiles."""
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(9999)}" for _ in range(300)]
+    chain = [" ".join(words[:k] + [f"x{k}a{j}" for j in range(2)] + words[k:]) for k in range(0, 300, 10)]
+    chain = [" ".join(words)] + [" ".join(words[3 * k :] + [f"y{i}" for i in range(3 * k)]) for k in range(1, 40)] + chain
+    star = [" ".join(w if rng.random() > 0.03 else f"z{rng.randrange(10**6)}" for w in words[::-1]) for _ in range(150)] + [" ".join(words[::-1])]
+    rows = table(spark, chain + star)
+    monkeypatch.setattr(similar, "TILE", 32)
+    monkeypatch.setattr(similar, "TILE_OF_SETS", 16)
+    texts = {r.doc_id: r.text for r in rows.collect()}
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, rows, "").collect()} == set(brute_groups(texts).values())
+
+
+def test_dedup_keeps_one_of_repeated_rows_and_null_ids(spark):
+    text = "one two three four five six seven"
+    rows = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in [(1, text), (1, text), (None, text), (None, text), (2, text), (None, "other"), (None, "other"), (7, None), (None, "")]], DOC)
+    got = corpus_pipeline.near_dedup(spark, clashing(rows), "").collect()
+    assert sorted((r.doc_id is None, r.doc_id, r.text) for r in got if r.doc_id) == [(False, 1, text), (False, 7, None)] and [r.text for r in got if r.doc_id is None] == ["other"]
+
+
+@pytest.mark.parametrize("radius, rows", [(3, 1), (3, 10**9), (3, 10**13), (1, 1), (5, 1)])
+def test_links_by_any_tables(spark, radius, rows):
+    rng = random.Random(radius)
+    base = [rng.getrandbits(64) for _ in range(20)]
+    fps = sorted({rng.choice(base) ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(0, radius + 3))) for _ in range(200)})
+    signed = spark.createDataFrame([((v ^ (1 << 63)) - (1 << 63),) for v in fps], "fp long")
+    root = {r.node & (2**64 - 1): r.root for r in simhash.components(simhash.near_links(signed, radius, 16, rows)).collect()}
+    want, made, ids = defaultdict(set), defaultdict(set), dict(enumerate(fps))
+    for i, r in brute_components(ids, radius).items():
+        want[r].add(ids[i])
+    for v in fps:
+        made[root.get(v, ("alone", v))].add(v)
+    assert {frozenset(g) for g in made.values()} == {frozenset(g) for g in want.values()}
