@@ -37,9 +37,10 @@ from pathloom.llm.common import partitions, ship, ship_file, staged
 from pathloom.llm.tokens import Encoder, crc
 
 BLOCK = 1 << 19
+IDS_AT_ONCE, PIECES_AT_ONCE = 1 << 20, 1 << 13
 STAGE = "part long, doc_ids array<long>, starts array<long>, lengths array<long>, doc_tokens array<long>, ats array<long>, sources array<string>, ids binary"
 CUT = "window long, rank double, source string, at long, doc_id long, start long, doc_tokens long, ids binary"
-PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string, ids array<long>"
+PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
 
 def tokenized_blocks(path: str, end_id: int, block: int = BLOCK):
@@ -163,8 +164,16 @@ def cut_blocks(shares: Shares, width: int):
 def packed_windows(shares: Shares, size: int, width: int, with_ids: bool):
     """Pieces sorted by window and rank -> pieces of sequences."""
     last = tail(shares.total, size)
-    names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", "ids")
-    types = [pa.int64()] * 7 + [pa.string(), pa.list_(pa.int64())]
+    names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source")
+    types = [pa.int64()] * 7 + [pa.string()]
+
+    def batch_of(made: list[tuple]) -> pa.RecordBatch:
+        *columns, ids = zip(*made)
+        cols = [pa.array(c, t) for c, t in zip(columns, types)]
+        if with_ids:
+            ends = np.cumsum([0, *columns[2]]).astype(np.int32)
+            cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32))))
+        return pa.RecordBatch.from_arrays(cols, names=[*names, *(["ids"] * with_ids)])
 
     def bounds(place: int) -> tuple[int, int, int]:
         if not last or place < last[0][0]:
@@ -172,9 +181,8 @@ def packed_windows(shares: Shares, size: int, width: int, with_ids: bool):
         return next(x for x in reversed(last) if x[0] <= place)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        window, place = -1, 0
+        window, place, made, size = -1, 0, [], 0
         for batch in batches:
-            made = []
             for k, source, doc_id, start, tokens, data in zip(*(batch.column(c).to_pylist() for c in ("window", "source", "doc_id", "start", "doc_tokens", "ids"))):
                 if k != window:
                     window, place = k, shares.place(k)
@@ -182,10 +190,13 @@ def packed_windows(shares: Shares, size: int, width: int, with_ids: bool):
                 while len(ids):
                     first, room, sequence = bounds(place)
                     own, ids = ids[: first + room - place], ids[first + room - place :]
-                    made.append((doc_id, start, len(own), crc(own), tokens, sequence, place - first, source, own.tolist() if with_ids else None))
-                    start, place = start + len(own), place + len(own)
-            if made:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), types)], names=names)
+                    made.append((doc_id, start, len(own), crc(own), tokens, sequence, place - first, source, own))
+                    start, place, size = start + len(own), place + len(own), size + len(own)
+                    if size >= IDS_AT_ONCE or len(made) >= PIECES_AT_ONCE:
+                        yield batch_of(made)
+                        made, size = [], 0
+        if made:
+            yield batch_of(made)
 
     return run
 
@@ -211,8 +222,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 0, size: int = 1024, window_s
     # A row a partition: the blocks need not move before they are cut.
     cut = blocks.join(F.broadcast(bases), F.col("part") == F.col("_part")).drop("_part").mapInArrow(cut_blocks(shares, width), CUT)
     dealt = cut.repartition(partitions(spark), "window").sortWithinPartitions("window", "rank", "source", "at")
-    out = dealt.mapInArrow(packed_windows(shares, size, width, with_ids), PIECE)
-    return out if with_ids else out.drop("ids")
+    return dealt.mapInArrow(packed_windows(shares, size, width, with_ids), PIECE + ", ids array<int>" * with_ids)
 
 
 def vocabulary(name: str) -> str:

@@ -2,24 +2,26 @@
 
 Patterns (assign, access, hex) are found leftmost and non-overlapping per kind; matches that fail
 their length are dropped afterwards. Every other run of 20 or more characters of the Base64 alphabets
-that mixes letters and digits is a candidate: its encoding (hex, Base32, letters and digits, Base64)
-is inferred from the characters it uses, and a chi-squared test of uniformity over that alphabet,
-a runs test about the alphabet's middle and a lag-1 serial-correlation test are combined by Fisher's
-method into one level of randomness.
-
-Whether a level is remarkable is decided from the whole corpus. The letters and digits of every
-distinct text, without its patterns' spans and candidates, are cut from end to end into decoys of the
-length classes in turn, from a class drawn by its hash. Candidates and decoys of distinct texts are
-counted by length class and level (a table of fixed size), so copies count once; a candidate's p-value is
-the share of decoys of its length class that look at least as random, and the Benjamini-Hochberg step
-within each length class flags candidates at the false-discovery rate ``rate``. Texts are read once:
-candidates with their levels are written to the shared folder and decided from there.
+is a candidate: its encoding (digits, hex, letters, Base32, letters and digits, Base64) is inferred from the
+characters it uses, and a chi-squared test of uniformity over that alphabet, a runs test about the
+alphabet's middle and a lag-1 serial-correlation test are combined by Fisher's method. Below ALPHA the run
+is no random string of its encoding.
+
+What the battery does not tell from random may still be text by chance, short runs above all. So a
+candidate's p-value is the chance that writing looks as random: writing is modelled by letter frequencies
+and by how often it changes between small letters, capitals, digits and signs, and as a likelihood ratio
+against a model exceeds r with a chance of 1 / r at most, the p-value is the model's likelihood over that of a uniform
+string of the encoding. It depends on the run alone, never on the corpus. The Benjamini-Hochberg step
+over the candidates of all distinct texts, within each length class, flags at the false-discovery rate
+``rate``. Digits alone are as likely in writing as at random, and are never flagged.
+
+Texts are read once: candidates with their levels are written to the shared folder, counted by length class
+and level (a table of fixed size; copies count once) and decided from there.
 
 Spans are code points, end exclusive. A candidate that overlaps a pattern's span gives way.
 
-Defined cases: null or empty text has no spans; without decoys of a length class none of its
-candidates is flagged; a null doc_id stays null; repeated rows stay; an empty table gives no rows;
-other columns are ignored.
+Defined cases: null or empty text has no spans; long texts are scanned whole; a null doc_id stays null;
+repeated rows stay; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,24 +47,52 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")  # the runs of [0-9a-f]+ that are long enough
 KINDS = ("assign", "access", "hex", "random")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-_MIXED = re.compile(r"(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])")
-_JOINED = re.compile(r"[^A-Za-z0-9]+")
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-ENCODINGS = (DIGITS + "abcdef", DIGITS + "ABCDEF", UPPER + "234567", LOWER + "234567", DIGITS + LOWER, DIGITS + UPPER, UPPER + LOWER + DIGITS, UPPER + LOWER + DIGITS + "+/", UPPER + LOWER + DIGITS + "-_")
+ENCODINGS = (
+    DIGITS, DIGITS + "abcdef", DIGITS + "ABCDEF", LOWER, UPPER, UPPER + "234567", LOWER + "234567",
+    DIGITS + LOWER, DIGITS + UPPER, UPPER + LOWER, UPPER + LOWER + DIGITS, UPPER + LOWER + DIGITS + "+/", UPPER + LOWER + DIGITS + "-_",
+)
 _SETS = [(frozenset(a), {c: i for i, c in enumerate(a)}) for a in ENCODINGS]
 _ANY = {c: i for i, c in enumerate(UPPER + LOWER + DIGITS + "+/-_")}
 LENGTHS = (20, 24, 32, 48, 64, 128)
-LEVELS = 64
+LEVELS = 256
+ALPHA = 0.001
+#: Letters of English text, in percent.
+FREQUENCY = dict(zip(LOWER, (8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.15, 0.77, 4.0, 2.4, 6.7, 7.5, 1.9, 0.095, 6.0, 6.3, 9.1, 2.8, 0.98, 2.4, 0.15, 2.0, 0.074)))
+#: Other languages write often what English hardly does.
+RAREST = 0.5
+#: How writing goes on after a small letter, capital, digit or sign: to one of these, in this order.
+GOES_ON = ((0.85, 0.05, 0.03, 0.07), (0.40, 0.50, 0.04, 0.06), (0.01, 0.01, 0.97, 0.01), (0.50, 0.20, 0.15, 0.15))
+
+
+def _kind(c: str) -> int:
+    return 0 if c in LOWER else 1 if c in UPPER else 2 if c in DIGITS else 3
+
+
+def _written() -> dict[str, float]:
+    """Bits of a character, its kind given."""
+    whole = sum(FREQUENCY.values())
+    out = {c: -math.log2(max(f, RAREST) / whole) for c, f in FREQUENCY.items()}
+    return out | {c.upper(): v for c, v in out.items()} | dict.fromkeys(DIGITS, math.log2(10)) | dict.fromkeys("+/_=-", math.log2(5))
+
+
+_BITS = _written()
+_TURN = [[-math.log2(p) for p in row] for row in GOES_ON]
 
 
 def tail(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
+def encoding(token: str) -> dict[str, int]:
+    """The smallest alphabet that has all characters of the token; padding signs belong to none."""
+    used = set(token)
+    return next((i for s, i in _SETS if used <= s), _ANY)
+
+
 def randomness(token: str) -> float:
     """Combined p-value of the battery: uniform for random strings of the inferred encoding, tiny for text."""
-    used = set(token)
-    index = next((i for s, i in _SETS if used <= s), _ANY)
+    index = encoding(token)
     k, x = len(index), [index[c] for c in token if c in index]
     n = len(x)
     if n < 2:
@@ -89,8 +119,14 @@ def randomness(token: str) -> float:
 
 
 def level(token: str) -> int:
-    """0 (as random as can be) to LEVELS - 1: -log2 of the battery's p-value, in halves."""
-    return min(LEVELS - 1, int(-2 * math.log2(max(randomness(token), 1e-300))))
+    """-log2 of the chance that writing looks as random, rounded down; 0 where the battery finds it not random."""
+    kinds = [_kind(c) for c in token]
+    written = 2.0 + sum(map(_BITS.__getitem__, token)) + sum(_TURN[a][b] for a, b in zip(kinds, kinds[1:]))
+    index = encoding(token)
+    more = written - len(token) * math.log2(len(index))
+    if more < 1 or len(index) == len(DIGITS) or randomness(token) < ALPHA:
+        return 0
+    return min(LEVELS - 1, int(more))
 
 
 def length_class(n: int) -> int:
@@ -112,75 +148,54 @@ def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, i
     for m in _CANDIDATE.finditer(text):
         token = m[0]
         before = bisect_left(starts, m.end())
-        if _MIXED.match(token) and not (before and reach[before - 1] > m.start()):
+        if not (before and reach[before - 1] > m.start()):
             out.append((m.start(), m.end(), length_class(len(token)), level(token)))
     return out
 
 
-def decoys(text: str, key: bytes, taken: list[tuple[int, int]]) -> list[int]:
-    """Codes of the stretches of the text's own letters and digits outside the spans taken."""
-    parts, at = [], 0
-    for start, end in sorted(taken):
-        parts.append(text[at:start] if start > at else "")
-        at = max(at, end)
-    line = _JOINED.sub("", "".join([*parts, text[at:]]))
-    cls, at, out = key[0] % len(LENGTHS), 0, []
-    for _ in range(len(LENGTHS)):  # until no class fits
-        while at + LENGTHS[cls] <= len(line):
-            out.append(cls * LEVELS + level(line[at : at + LENGTHS[cls]]))
-            at, cls = at + LENGTHS[cls], (cls + 1) % len(LENGTHS)
-        cls = (cls + 1) % len(LENGTHS)
-    return out
-
-
-_ROW = "doc_id long, base array<struct<s:long,e:long,k:string>>, open array<struct<s:long,e:long,c:long,v:long>>, decoy_key binary, decoys array<smallint>"
+_ROW = "doc_id long, base array<struct<s:long,e:long,k:string>>, open array<struct<s:long,e:long,c:long,v:long>>, text_key binary"
 _BASE = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64()), ("k", pa.string())]))
 _OPEN = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64()), ("c", pa.int64()), ("v", pa.int64())]))
 
 
 def scanned(text: str | None) -> tuple:
+    """Base spans, candidates, and where there are any the text's digest."""
     text = text or ""
     base = base_spans(text)
     found = candidates(text, base)
-    key = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-    drawn = decoys(text, key, [x[:2] for x in (*base, *found)])
-    return [dict(zip("sek", x)) for x in base], [dict(zip("secv", x)) for x in found], key, drawn
+    key = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest() if found else None
+    return [dict(zip("sek", x)) for x in base], [dict(zip("secv", x)) for x in found], key
 
 
 def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        cols = list(zip(*map(scanned, batch.column("text").to_pylist()))) or [[]] * 4
-        made = [pa.array(c, t) for c, t in zip(cols, (_BASE, _OPEN, pa.binary(), pa.list_(pa.int16())))]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, "base", "open", "decoy_key", "decoys"])
+        cols = list(zip(*map(scanned, batch.column("text").to_pylist()))) or [[]] * 3
+        made = [pa.array(c, t) for c, t in zip(cols, (_BASE, _OPEN, pa.binary()))]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, "base", "open", "text_key"])
 
 
-def thresholds(counted: list[tuple[int, int, int, int]], rate: float) -> dict[int, int]:
-    """(length class, level, candidates, decoys) rows -> the highest flagged level of each class (-1: none)."""
+def thresholds(counted: list[tuple[int, int, int]], rate: float) -> dict[int, int]:
+    """(length class, level, candidates) rows -> the lowest flagged level of each class (LEVELS: none), by Benjamini-Hochberg."""
     out = {}
     for cls in range(len(LENGTHS)):
-        own, fake = np.zeros(LEVELS), np.zeros(LEVELS)
-        for c, v, n, m in counted:
+        own = np.zeros(LEVELS)
+        for c, v, n in counted:
             if c == cls:
                 own[v] += n
-                fake[v] += m
-        p = (1 + np.cumsum(fake)) / (1 + fake.sum())
-        rank, m = np.cumsum(own), own.sum()
-        passed = np.flatnonzero((own > 0) & (p <= rate * rank / max(m, 1)))
-        out[cls] = int(passed[-1]) if len(passed) and fake.sum() else -1
+        rank = np.cumsum(own[::-1])[::-1]  # candidates of this level or above
+        passed = np.flatnonzero((own > 0) & (2.0 ** -np.arange(LEVELS) <= rate * rank / max(own.sum(), 1)))
+        out[cls] = int(passed[0]) if len(passed) else LEVELS
     return out
 
 
 def decided(found: DataFrame, rate: float) -> DataFrame:
     """found (as scan() gives, staged) with spans: base and flagged, by start and kind."""
-    codes = F.transform("open", lambda x: (x["c"] * LEVELS + x["v"]).cast("smallint")).alias("codes")
-    single = found.select("decoy_key", codes, "decoys").dropDuplicates(["decoy_key"])
-    # Candidates' codes are made negative, so that one pass counts both.
-    both = F.concat(F.transform("codes", lambda x: (-1 - x).cast("int")), F.transform("decoys", lambda x: x.cast("int")))
-    rows = single.select(F.explode(both).alias("code")).groupBy("code").agg(F.count("*").alias("n")).collect()  # at most 2 * 6 * 64 rows
-    counted = [(*divmod(r.code, LEVELS), 0, r.n) if r.code >= 0 else (*divmod(-1 - r.code, LEVELS), r.n, 0) for r in rows]
-    top = thresholds(counted, rate)
-    highest = F.array(*[F.lit(top[c]) for c in range(len(LENGTHS))])
-    flagged = F.filter("open", lambda x: x["v"] <= F.element_at(highest, (x["c"] + 1).cast("int")))
+    codes = F.transform("open", lambda x: (x["c"] * LEVELS + x["v"]).cast("int")).alias("codes")
+    single = found.where("text_key is not null").select("text_key", codes).dropDuplicates(["text_key"])
+    rows = single.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count("*").alias("n")).collect()  # at most 6 * 256 rows
+    top = thresholds([(*divmod(r.code, LEVELS), r.n) for r in rows], rate)
+    lowest = F.array(*[F.lit(top[c]) for c in range(len(LENGTHS))])
+    flagged = F.filter("open", lambda x: x["v"] >= F.element_at(lowest, (x["c"] + 1).cast("int")))
     extra = F.transform(flagged, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit("random").alias("k")))
     rank = {k: i for i, k in enumerate(KINDS)}
     order = lambda x: F.struct(x["s"], sum((F.when(x["k"] == k, i).otherwise(0) for k, i in rank.items()), F.lit(0)).alias("r"), x["e"], x["k"])
@@ -204,7 +219,7 @@ def joined(spans: str) -> Column:
 def op6(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ship(spark)
-    light = lambda batches: (b.select(["doc_id", "base", "open", "decoy_key", "decoys"]) for b in scan(batches))
+    light = lambda batches: (b.select(["doc_id", "base", "open", "text_key"]) for b in scan(batches))
     found = decided(staged(docs.mapInArrow(light, _ROW), "secrets"), 0.01)
     n = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long")
     return found.select(
