@@ -62,7 +62,7 @@ STOP_WORDS = frozenset(
 )
 SHORT, LONG = 70, 200
 LOW, HIGH = 0.15, 0.30
-UNKNOWN = 0.15
+UNKNOWN = 0.2
 LINKS = 0.3
 _WORD = re.compile(r"[^\W\d_]+")
 
