@@ -30,6 +30,10 @@ class JsonError(Exception):
         return self.value if isinstance(self.value, str) else text(self.value) + " (not a string)"
 
 
+#: Above this not every integer is a double.
+EXACT = 1 << 53
+
+
 @total_ordering
 class Big:
     """A number that no double holds, kept as text and compared exactly."""
@@ -112,6 +116,8 @@ def compare(a: object, b: object) -> int:
             return 1
         if isinstance(a, Big) or isinstance(b, Big):
             a, b = (x.value if isinstance(x, Big) else Decimal(x) for x in (a, b))
+        elif type(a) is int and type(b) is int and (abs(a) > EXACT or abs(b) > EXACT):
+            a, b = float(a), float(b)  # numbers are doubles to each other, however they are kept
         return (a > b) - (a < b)
     if ra == 4:
         return (a > b) - (a < b)

@@ -82,39 +82,42 @@ def interpreted(filter_, df: DataFrame, repair: bool = False, prefilter: bool =
 
 
 # -- literal prefilter -----------------------------------------------------------------------------
+# A record may only be passed over unread where reading it would give nothing: no output, no type error,
+# no parse error. That is certain for a flat object without escapes whose one field of that name is a string.
 
 _PLAIN = re.compile(r"[A-Za-z0-9 _,:;=@#%&<>~-]{2,}\Z")
+_STRING = r'"[^"\\\x00-\x1f]*"'
+_FIELD = rf"{_STRING}: ?(?:{_STRING}|-?(?:0|[1-9][0-9]{{0,14}})(?:\.[0-9]{{1,15}})?|true|false|null)"
+_FLAT = rf"\A\{{{_FIELD}(?:, ?{_FIELD})*\}}\z"
+#: Java's patterns recurse with every field: longer records are read.
+SHORT = 2000
 
 
-def accessor(node: tuple) -> bool:
-    return node[0] == "identity" or node[0] == "field" and accessor(node[2])
-
-
-def needed(node: tuple) -> list[str]:
-    """Texts that any record has for which the condition holds."""
+def needed(node: tuple) -> list[tuple[str, str]]:
+    """(field, text): any record for which the condition holds has the text in that string field of its own."""
     if node[0] == "and":
-        return needed(node[2]) + needed(node[3])
-    if node[0] == "binary" and node[2] == "==" and accessor(node[3]) and node[4][0] == "literal" and isinstance(node[4][2], str):
-        return [node[4][2]]
+        return needed(node[2])  # the right side is read only where the left one holds
+    found = None
+    if node[0] == "binary" and node[2] == "==":
+        found = node[3], node[4]
     steps = pipes(node)
-    if len(steps) == 2 and accessor(steps[0]) and steps[1][0] == "call" and steps[1][2] in ("test", "contains", "startswith", "endswith") and len(steps[1][3]) == 1:
-        arg = steps[1][3][0]
-        if arg[0] == "literal" and isinstance(arg[2], str):
-            return [arg[2]]
+    if len(steps) == 2 and steps[1][0] == "call" and steps[1][2] in ("test", "contains", "startswith", "endswith") and len(steps[1][3]) == 1:
+        found = steps[0], steps[1][3][0]
+    if found and found[0][0] == "field" and found[0][2][0] == "identity" and found[1][0] == "literal" and isinstance(found[1][2], str):
+        return [(found[0][3], found[1][2])]
     return []
 
 
 def harvested(program: dict) -> Column | None:
-    """What a record's text must contain for a leading select to pass; texts with escapes always stay."""
+    """Which texts must be read for a leading select; None: all."""
     if program["defs"] or program["imports"]:
         return None
     first = pipes(program["body"])[0]
     if first[0] != "call" or first[2] != "select" or len(first[3]) != 1:
         return None
-    texts = [t for t in needed(first[3][0]) if _PLAIN.match(t)]
-    if not texts:
+    wanted = [(k, t) for k, t in needed(first[3][0]) if _PLAIN.match(t) and re.fullmatch(r"\w+", k, re.A)]
+    if not wanted:
         return None
-    has = F.lit(True)
-    for t in texts:
-        has = has & F.col("value").contains(t)
-    return has | F.col("value").contains("\\")
+    (name, text_), value = wanted[0], F.col("value")
+    known = (F.length(value) < SHORT) & value.rlike(_FLAT) & (F.regexp_count(value, F.lit(f'"{name}":')) == 1) & value.rlike(f'"{name}": ?"')
+    return value.contains(text_) | ~F.coalesce(known, F.lit(False))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -40,10 +44,23 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     return out.withColumn(name, F.col(name) - 1)
 
 
-def buckets(df: DataFrame, key: Column, n: int = 64) -> Column:
-    """A bucket number that grows with a numeric key, by quantiles: n - 1 numbers come to the driver."""
-    bounds = df.select(key.cast("double").alias("k")).approxQuantile("k", [i / n for i in range(1, n)], 0.5 / n)
-    if not bounds:
-        return F.lit(0)
-    cuts = F.array(*[F.lit(b) for b in sorted(set(bounds))])
-    return F.when(key.isNull(), -1).otherwise(F.size(F.filter(cuts, lambda b: b <= key.cast("double"))))
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder that all executors see: under spark.checkpoint.dir, or a temporary one where all run here."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.gettempdir()
+    return f"{found.rstrip('/')}/pathloom-{name}-{uuid.uuid4().hex}"
+
+
+def in_order(df: DataFrame, order: list[Column]) -> DataFrame:
+    """df sorted, with _seq its rows' new order: written range by range to the shared folder and read back.
+
+    Spark's sampled ranges spread any kind of key, hot ones too as the order ends in _seq; but they may differ when a
+    plan runs again, so what is numbered is a table that stays.
+    """
+    path = scratch(df.sparkSession, "sorted")
+    made = df.orderBy(*order).withColumn(SEQ, F.monotonically_increasing_id())
+    made.write.parquet(path)
+    return df.sparkSession.read.schema(made.schema).parquet(path)

@@ -7,6 +7,7 @@ sorts; nothing gathers the array. Where a step isn't expressible NotNative is ra
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
@@ -16,7 +17,7 @@ from pyspark.sql import types as T
 
 from pathloom.plans import native as N
 from pathloom.plans.native import NotNative, Row, Typed, commas, literal, pipes, plain, predicate, truthy, value
-from pathloom.plans.numbering import SEQ, buckets, numbered, part, running, sequenced
+from pathloom.plans.numbering import SEQ, in_order, numbered, part, running, sequenced
 
 HIDDEN = "_var_"
 
@@ -317,7 +318,7 @@ def on_whole(whole: Whole, node: tuple) -> object:
         if name == "JOIN":
             return lookup_join(rows, args)
         if name == "to_entries" and not args:
-            own = numbered(rows.df, "key")
+            own = numbered(in_order(rows.df, list(rows.sorted_by)) if rows.sorted_by else rows.df, "key")
             packed = F.col("value") if rows.single else F.struct(*[F.col(f"`{c}`") for c in rows.shown()])
             return Whole(Rows(own.select("key", packed.alias("value"), SEQ), tables=rows.tables))
         if name == "range" and len(args) in (1, 2, 3):
@@ -407,8 +408,9 @@ def unique(rows: Rows, keys: list[tuple]) -> Whole:
         df = rows.df.select(*[F.col(f"`{c}`") for c in own]).distinct()
         return Whole(replace(rows, df=df, sorted_by=tuple(_Order.of(F.col(f"`{c}`"), True) for c in sorted(own))))
     df = sequenced(rows.df).withColumns({n: x.col for n, x in zip(names, made)})
-    first = F.min_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), F.col(SEQ))
-    df = df.groupBy(*[F.col(n).alias(f"_g_{n}") for n in names]).agg(first.alias("_r")).select("_r.*")
+    # A rank, not an aggregate of whole rows: what is not used later is not read.
+    place = F.row_number().over(W.partitionBy(*names).orderBy(SEQ))
+    df = df.withColumn(f"{HIDDEN}place", place).where(F.col(f"{HIDDEN}place") == 1).drop(f"{HIDDEN}place")
     return Whole(replace(rows, df=df, sorted_by=tuple(_Order.of(F.col(n), True) for n in names)))
 
 
@@ -439,11 +441,12 @@ def lookup_join(rows: Rows, args: tuple) -> object:
     index = rows.tables[args[0][2]]
     left = rows if len(args) == 2 else rows_of(args[1], rows)
     key, last = (args[1], None) if len(args) == 2 else (args[2], args[3] if len(args) == 4 else None)
+    wanted = [fields_of(substituted(last), lambda n, side=side: n[0] == "field" and n[-1] == side) if last else None for side in ("_left", "_right")]
     own = sequenced(index.rows.df)
-    packed = F.struct(*[F.col(f"`{c}`") for c in index.rows.shown()])
+    packed = struct_of(index.rows.shown(), wanted[1])
     text = N.to_text(value(index.key, index.rows.row()))
     right = own.groupBy(text.alias("_key")).agg(F.max_by(packed, F.col(SEQ)).alias("_right"))
-    mine = F.struct(*[F.col(f"`{c}`") for c in left.shown()]) if not left.single else F.col("value")
+    mine = struct_of(left.shown(), wanted[0]) if not left.single else F.col("value")
     probe = left.df.select(N.to_text(value(key, left.row())).alias("_probe"), mine.alias("_left"))
     joined = probe.join(right, F.col("_probe") == F.col("_key"), "left")
     pair = PairRow(Typed(F.col("_left"), joined.schema["_left"].dataType), Typed(F.col("_right"), joined.schema["_right"].dataType))
@@ -456,6 +459,24 @@ def lookup_join(rows: Rows, args: tuple) -> object:
     return replace(out, df=out.df)
 
 
+def fields_of(node: object, base: Callable[[tuple], bool]) -> set | None:
+    """Names of the fields that are read of a base; None if it is read whole."""
+    if not isinstance(node, tuple) or not node:
+        return set()
+    if len(node) == 4 and node[0] == "field" and isinstance(node[2], tuple) and base(node[2]):
+        return {node[3]}
+    if isinstance(node[0], str) and len(node) > 2 and base(node):
+        return None
+    parts = [fields_of(x, base) for x in node]
+    return None if None in parts else set().union(*parts)
+
+
+def struct_of(names: list[str], wanted: set | None) -> Column:
+    """The columns as one, without those that nobody reads (one stays, so that there is a row to tell from none)."""
+    kept = [c for c in names if wanted is None or c in wanted] or names[:1]
+    return F.struct(*[F.col(f"`{c}`") for c in kept])
+
+
 @dataclass
 class PairRow:
     left: Typed
@@ -526,23 +547,21 @@ def running_fold(rows: Rows, node: tuple) -> Rows:
     if e is None or N.family(start.type) != "number":
         raise NotNative("foreach")
     x = N.number(value(with_item(e, name), items.row()))
-    df = sequenced(items.df)
+    wanted = set() if len(node[4]) == 2 else fields_of(node[4][2], lambda n: n[0] == "var" and n[-1] == name)
+    df = sequenced(items.df).withColumn("_state", F.coalesce(x.col, F.lit(0)))
     if items.sorted_by:
-        key = items.sorted_by[0]
-        column, up, _ = _Order.made[id(key)]
-        if not isinstance(df.select(column.alias("k")).schema["k"].dataType, T.NumericType):
-            raise NotNative("running total by a key that is no number")
-        bucket = buckets(df, column if up else -column)
-        out = running(df, bucket, list(items.sorted_by), {"_state": F.coalesce(x.col, F.lit(0))})
-    else:
-        out = running(df, part(), [F.col(SEQ)], {"_state": F.coalesce(x.col, F.lit(0))})
+        if not items.single:  # what is written is what is read later
+            hidden = [c for c in df.columns if c.startswith(HIDDEN) or c in (SEQ, "_state")]
+            df = df.select(*hidden, *[F.col(f"`{c}`") for c in items.shown() if c not in hidden and (wanted is None or c in wanted)])
+        df = in_order(df, list(items.sorted_by))
+    out = running(df, part(), [F.col(SEQ)], {"_state": F.col("_state")})
     state = (F.col("_state") + start.col).cast("long" if x.type == N.LONG and start.type == N.LONG else "double")
     out = out.withColumn("_state", state)
     if len(node[4]) == 2:
         return replace(items, df=out.select(F.col("_state").alias("value")), single=True, names={}, sorted_by=())
     t = out.schema["_state"].dataType
     hidden = f"{HIDDEN}{name}"
-    packed = F.struct(*[F.col(f"`{c}`") for c in items.shown()]) if not items.single else F.col("value")
+    packed = struct_of([c for c in items.shown() if c in out.columns] or ["_state"], wanted) if not items.single else F.col("value")
     own = out.select(F.col("_state"), packed.alias(hidden))
     base = Rows(own, tables=rows.tables, names={name: hidden})
     made = plain(value(node[4][2], Row(None, Typed(F.col("_state"), t), {name: Typed(F.col(hidden), own.schema[hidden].dataType)})))

@@ -43,7 +43,9 @@ def evaluated(name: str, main: str, columns: list[str], source: str, out: str, s
 
     def run(spark: SparkSession, d: str) -> DataFrame:
         made = Filter(source).apply(read(spark, d, main).select(*columns), "evaluator")
-        return made.where("error is null").select(F.from_json("value", out).alias("r")).select("r.*")
+        # A record that the filter fails on fails the query.
+        fine = F.when(F.col("error").isNull(), F.col("value")).otherwise(F.raise_error(F.concat(F.lit("filter error: "), "error")))
+        return made.select(F.from_json(fine, out).alias("r")).select("r.*")
 
     QUERIES[name] = run
     if sql:

@@ -18,6 +18,7 @@ from pathloom.plans.lanes import as_json, ship
 
 ORDER = ("null", "boolean", "number", "string", "array", "object")
 DEPTH = 12
+EIGHT = 8
 
 
 def seen(tree: dict, v: object, depth: int) -> None:
@@ -110,9 +111,9 @@ def described(df: DataFrame, depth: int = DEPTH, sort_keys: bool = True) -> Data
     ship(df)
     trees = as_json(df).select("value").mapInArrow(_folded(depth), "tree string")
     n = trees.rdd.getNumPartitions()
-    while n > 8:  # merge eight to one until few are left
-        n = -(-n // 8)
-        trees = trees.coalesce(n).mapInArrow(_merged, "tree string")
+    while n > EIGHT:  # merge eight to one until few are left; a shuffle between, so that the scan keeps its tasks
+        n = -(-n // EIGHT)
+        trees = trees.repartition(n).mapInArrow(_merged, "tree string")
     rows = trees.collect()  # at most eight trees, each as large as the schema
     tree: dict = {}
     for r in rows:

@@ -79,9 +79,10 @@ def read_raw(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def read_raw_whole(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """The whole input as one JSON string, without its last line end."""
-    files = spark.read.text(path, wholetext=True).agg(F.array_join(F.collect_list("value"), "").alias("value"))
-    return read_raw_from(files)
+    """The whole input as one JSON string, files by name, without its last line end: one value, so one task makes it."""
+    named = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("name"), "value")
+    files = named.agg(F.array_sort(F.collect_list(F.struct("name", "value"))).alias("files"))
+    return read_raw_from(files.select(F.array_join(F.transform("files", lambda f: f["value"]), "").alias("value")))
 
 
 def read_raw_from(df: DataFrame) -> DataFrame:

@@ -1,11 +1,15 @@
 """Filters on streams.
 
 A filter is stateless, so it runs on every micro-batch as on a table; order is kept within a batch by
-_seq. Event-time windows and watermarks are Spark's own and are passed through.
+_seq, the place of a record in the micro-batch. Event-time windows and watermarks are Spark's own and are passed through.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,8 +36,17 @@ def apply_filter(stream: DataFrame, filter_: Filter, keep: tuple[str, ...] = ())
         except NotNative:
             pass
     lanes.ship(stream)
-    rows = lanes.as_json(stream).select(F.lit(0).cast("long").alias(SEQ), "value")
-    return rows.mapInArrow(lanes.evaluated(filter_, False), lanes.OUT).select("_out", "value", "error")
+    # Spark numbers no rows of a stream: its tasks number theirs, by partition and place, within the micro-batch.
+    rows = lanes.as_json(stream).select("value").mapInArrow(_numbered, f"{SEQ} long, value string")
+    return rows.mapInArrow(lanes.evaluated(filter_, False), lanes.OUT).select(SEQ, "_out", "value", "error")
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    at = TaskContext.get().partitionId() << 33
+    for batch in batches:
+        seq = pa.array(range(at, at + batch.num_rows), pa.int64())
+        at += batch.num_rows
+        yield pa.RecordBatch.from_arrays([seq, batch.column(0)], names=[SEQ, "value"])
 
 
 def watermarked(stream: DataFrame, time: str, late: str) -> DataFrame:
