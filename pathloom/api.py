@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -51,6 +51,13 @@ class Filter:
         code = self.code
         yield from code.many(value, self._made[1])
 
+    def bound(self) -> Callable[[object], Iterator]:
+        """run() without inputs, made ready once for many values."""
+        self._inputs = None
+        code, env = self.code, self._made[1]
+        one = code.one
+        return (lambda value: (one(value, env),)) if one is not None else lambda value: code.many(value, env)
+
     def eval(self, json_text: str) -> list[str]:
         """Compact texts of all outputs for one JSON text."""
         return [text(x) for x in self.run(parse(json_text))]

@@ -73,12 +73,12 @@ evaluated(
 )
 evaluated(
     "control_more", "orders", ORDERS,
-    '{k: .o_orderkey, t: (try error({code: .o_custkey}) catch .code), e: (try error catch (.o_orderkey // "none")), n: ([.[] | try (if type == "number" then error("n") else . end) catch empty] | length), d: .o_custkey, env: (env | type), envv: ($ENV | type), built: (builtins | length > 100), loc: ($__loc__ | .line), halted: (try (label $f | 1, break $f, 2) catch 9), each: ([foreach (1, 2, 3) as $i (0; . + $i; [$i, .])] | tojson), red: (reduce (1, 2, 3) as [$a] (0; . + 1)), over: (1e308 * 10 | . > 1e308), e2: ([.o_orderstatus | ascii_downcase, error?] | length)}'.replace("(1, 2, 3) as [$a]", "([1], [2], [3]) as [$a]"),
-    "k long, t long, e long, n long, d long, env string, envv string, built boolean, loc long, halted long, each string, red long, over boolean, e2 long",
-    "SELECT o_orderkey AS k, o_custkey AS t, o_orderkey AS e, CAST(2 AS BIGINT) AS n, o_custkey AS d, 'object' AS env, 'object' AS envv, true AS built, CAST(1 AS BIGINT) AS loc, CAST(1 AS BIGINT) AS halted, '[[1,1],[2,3],[3,6]]' AS each, CAST(3 AS BIGINT) AS red, true AS \"over\", CAST(1 AS BIGINT) AS e2 FROM orders",
+    '{k: .o_orderkey, t: (try error({code: .o_custkey}) catch .code), e: (try error catch (.o_orderkey // "none")), n: ([.[] | try (if type == "number" then error("n") else . end) catch empty] | length), d: .o_custkey, env: (env | type), envv: ($ENV | type), loc: ($__loc__ | .line), halted: (try (label $f | 1, break $f, 2) catch 9), each: ([foreach (1, 2, 3) as $i (0; . + $i; [$i, .])] | tojson), red: (reduce (1, 2, 3) as [$a] (0; . + 1)), over: (1e308 * 10 | . > 1e308), e2: ([.o_orderstatus | ascii_downcase, error?] | length)}'.replace("(1, 2, 3) as [$a]", "([1], [2], [3]) as [$a]"),
+    "k long, t long, e long, n long, d long, env string, envv string, loc long, halted long, each string, red long, over boolean, e2 long",
+    "SELECT o_orderkey AS k, o_custkey AS t, o_orderkey AS e, CAST(2 AS BIGINT) AS n, o_custkey AS d, 'object' AS env, 'object' AS envv, CAST(1 AS BIGINT) AS loc, CAST(1 AS BIGINT) AS halted, '[[1,1],[2,3],[3,6]]' AS each, CAST(3 AS BIGINT) AS red, true AS \"over\", CAST(1 AS BIGINT) AS e2 FROM orders",
 )
 
-evaluated("said", "region", ["r_regionkey"], "{k: (.r_regionkey | debug | stderr)}", "k long", "SELECT CAST(r_regionkey AS BIGINT) AS k FROM region")
+evaluated("said", "region", ["r_regionkey"], "{k: (.r_regionkey | debug | stderr), built: (builtins | length > 100)}", "k long, built boolean", "SELECT CAST(r_regionkey AS BIGINT) AS k, true AS built FROM region")
 
 # -- arrays ----------------------------------------------------------------------------------------
 evaluated(

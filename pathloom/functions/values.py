@@ -30,10 +30,6 @@ class JsonError(Exception):
         return self.value if isinstance(self.value, str) else text(self.value) + " (not a string)"
 
 
-#: Above this not every integer is a double.
-EXACT = 1 << 53
-
-
 @total_ordering
 class Big:
     """A number that no double holds, kept as text and compared exactly."""
@@ -425,6 +421,8 @@ def values_of(s: str, repair: bool = False, deepest: int = DEEPEST_INPUT):
 
 
 def _shrunk(v: str) -> int | float:
+    if len(v) < 16 and v != "-0":  # below 2**53 whatever the digits
+        return int(v)
     return input_number(v)
 
 

@@ -34,6 +34,7 @@ def evaluated(filter_, repair: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
+        outputs = filter_.bound()
 
         def flush() -> pa.RecordBatch:
             cols = [pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW)]
@@ -44,8 +45,8 @@ def evaluated(filter_, repair: bool):
             for seq, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 n = 0
                 try:
-                    for out in filter_.run(parse(value if value is not None else "null", repair)):
-                        rows.append((seq, n, text(out), None))
+                    for out in outputs(parse(value if value is not None else "null", repair)):
+                        rows.append((seq, n, str(out) if type(out) is int else text(out), None))
                         n += 1
                         if len(rows) >= ROWS:
                             yield flush()

@@ -66,6 +66,11 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return sequenced(spark.read.text(path)).where(F.trim("value") != "").select(SEQ, "value")
 
 
+def read_records(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
+    """Objects of a known schema, one a line, as typed columns for the native lane. A line that isn't one fails the job."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
 def read_values(spark: SparkSession, path: str | list[str], repair: bool = True) -> DataFrame:
     """Concatenated or pretty-printed values; a file is read whole by one task."""
     return parsed_values(spark.read.text(path, wholetext=True), repair)
