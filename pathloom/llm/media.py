@@ -2,7 +2,7 @@
 
 An Aho-Corasick automaton locates the magic bytes of all known formats in one pass over a payload;
 each hit is handed to its format's validator, which checks structure and gives the length. The format
-at offset 0 corrects the declared type; valid formats further in are embedded media, carved out by
+at offset 0 corrects the declared type, and it is told whether that was right; valid formats further in are embedded media, carved out by
 offset and length.
 
 ``store`` keeps text payloads as PNG images of 8-bit samples (RGB, 64 pixels a row, so 192 bytes a
@@ -10,7 +10,7 @@ row): lossless, and readable by the same validators.
 
 Defined cases: null or empty payloads store as one row of spaces; unknown bytes have the type
 application/octet-stream; a truncated or corrupt format is not valid and its hit is passed over;
-hits inside a carved format are not carved again; repeated rows stay; a null doc_id stays null; an
+hits inside a carved format are not carved again; long payloads are read whole; repeated rows stay; a null doc_id stays null; an
 empty table gives no rows; other columns are ignored.
 """
 
@@ -110,13 +110,27 @@ def _bmp(b: bytes, at: int) -> int:
     return n if zero == 0 and head in (12, 40, 52, 56, 108, 124) and 14 + head <= data <= n <= len(b) - at else 0
 
 
+class Payload(bytes):
+    """Bytes whose searches for a mark go on from where the last one ended, so that many hits cost one pass."""
+
+    def next(self, mark: bytes, at: int) -> int:
+        held = self.__dict__.setdefault(mark, (-2, 0))  # where it was found, from where on it was looked for
+        if held[0] == -2 or -1 < held[0] < at or at < held[1]:
+            held = self.__dict__[mark] = self.find(mark, at), at
+        return held[0]
+
+
+def _next(b: bytes, mark: bytes, at: int) -> int:
+    return b.next(mark, at) if isinstance(b, Payload) else b.find(mark, at)
+
+
 def _pdf(b: bytes, at: int) -> int:
-    end = b.find(b"%%EOF", at)
-    return end + 5 - at if end > 0 and at + 8 <= len(b) and chr(b[at + 5]).isdigit() and b.find(b"startxref", at, end) > 0 else 0
+    end = _next(b, b"%%EOF", at)
+    return end + 5 - at if end > 0 and at + 8 <= len(b) and chr(b[at + 5]).isdigit() and 0 < _next(b, b"startxref", at) < end else 0
 
 
 def _zip(b: bytes, at: int) -> int:
-    end = b.find(b"PK\x05\x06", at)
+    end = _next(b, b"PK\x05\x06", at)
     if end < 0 or end + 22 > len(b):
         return 0
     size, offset, note = struct.unpack_from("<IIH", b, end + 12)
@@ -136,29 +150,95 @@ def _gzip(b: bytes, at: int) -> int:
         return 0
 
 
+def _crc_table(polynomial: int, bits: int) -> list[int]:
+    out = []
+    for v in range(256):
+        v <<= bits - 8
+        for _ in range(8):
+            v = (v << 1 ^ polynomial if v >> bits - 1 else v << 1) & (1 << bits) - 1
+        out.append(v)
+    return out
+
+
+_CRC8, _CRC16 = _crc_table(0x07, 8), _crc_table(0x8005, 16)
+#: Samples of a FLAC block by its code; codes 6 and 7 write them out, in 1 or 2 bytes.
+_BLOCK_SAMPLES = {1: 192, **{k: 576 << k - 2 for k in range(2, 6)}, **{k: 256 << k - 8 for k in range(8, 16)}}
+
+
+def _flac_header(b: bytes, p: int) -> tuple[int, int, int] | None:
+    """(length, number, samples) of a frame's header, if its check sum is right."""
+    if p + 6 > len(b) or b[p] != 0xFF or b[p + 1] & 0xFE != 0xF8 or b[p + 3] & 1:
+        return None
+    code, rate, first = b[p + 2] >> 4, b[p + 2] & 15, b[p + 4]
+    more = 0 if first < 0x80 else next((n for n in range(1, 7) if first >> 6 - n & 1 == 0), 7) if first >= 0xC0 else -1
+    if more < 0 or more > 6 or code == 0 or rate == 15:
+        return None
+    number, q = first & (0x7F >> more + (more > 0)), p + 5
+    for c in b[q : q + more]:
+        number = number << 6 | c & 0x3F
+    q += more
+    samples = _BLOCK_SAMPLES.get(code) or int.from_bytes(b[q : q + code - 5], "big") + 1
+    q += (code == 6) + 2 * (code == 7) + (rate == 12) + 2 * (rate in (13, 14))
+    crc = 0
+    for c in b[p:q]:
+        crc = _CRC8[crc ^ c]
+    return (q + 1 - p, number, samples) if q < len(b) and crc == b[q] else None
+
+
 def _flac(b: bytes, at: int) -> int:
-    p = at + 4
-    while p + 4 <= len(b):
-        head = b[p]
-        p += 4 + int.from_bytes(b[p + 1 : p + 4], "big")
-        if head & 0x80:
-            return len(b) - at if p + 2 <= len(b) and b[p] == 0xFF and b[p + 1] & 0xFC == 0xF8 else 0
-    return 0
+    """Metadata, then frames to the last sample: a frame ends where the check sum over it, its own included, is zero and a header or nothing is due."""
+    p, total, last = at + 4, 0, False
+    while not last:
+        if p + 4 > len(b):
+            return 0
+        last, kind, n = b[p] >> 7, b[p] & 0x7F, int.from_bytes(b[p + 1 : p + 4], "big")
+        if (p == at + 4) != (kind == 0) or kind == 0 and n != 34 or p + 4 + n > len(b):
+            return 0
+        if kind == 0:
+            total = int.from_bytes(b[p + 17 : p + 22], "big") & (1 << 36) - 1
+        p += 4 + n
+    done = number = 0
+    by_sample = p + 1 < len(b) and b[p + 1] & 1
+    while not total or done < total:
+        head = _flac_header(b, p)
+        if not head or head[1] != (done if by_sample else number):
+            return 0
+        done, number = done + head[2], number + 1
+        crc, q, end = 0, p, 0
+        while q < len(b):
+            crc = (crc << 8 & 0xFF00) ^ _CRC16[crc >> 8 ^ b[q]]
+            q += 1
+            if crc == 0 and q - p > head[0] + 2:
+                due = _flac_header(b, q)
+                if due and due[1] == (done if by_sample else number):
+                    end = q
+                    break
+                if total and done >= total or not total and due is None and b[q : q + 2] not in (b"\xff\xf8", b"\xff\xf9"):
+                    return q - at
+        if not end:
+            return 0
+        p = end
+    return p - at
 
 
 def _ogg(b: bytes, at: int) -> int:
-    p, serial = at, None
+    """Pages to the one that ends the last of the streams that have begun."""
+    p, open_ = at, set()
     while p + 27 <= len(b) and b[p : p + 4] == b"OggS" and b[p + 4] == 0:
         flags, own, n = b[p + 5], b[p + 14 : p + 18], b[p + 26]
-        if serial not in (None, own) or (serial is None and not flags & 2) or p + 27 + n > len(b):
-            break
+        if p + 27 + n > len(b):
+            return 0
         stop = p + 27 + n + sum(b[p + 27 : p + 27 + n])
-        if stop > len(b):
-            break
-        serial, p = own, stop
+        if flags & 2:
+            open_.add(own)
+        if stop > len(b) or own not in open_:
+            return 0
+        p = stop
         if flags & 4:
-            break
-    return p - at
+            open_.discard(own)
+            if not open_:
+                return p - at
+    return 0
 
 
 #: Magic bytes, type, validator.
@@ -196,7 +276,7 @@ def hits(b: bytes) -> Iterator[tuple[int, int]]:
 
 def sniff(b: bytes) -> tuple[str, list[tuple[int, int, str]]]:
     """(type of the whole, embedded media as offset, length and type)."""
-    kind, found, until = UNKNOWN, [], 0
+    b, kind, found, until = Payload(b), UNKNOWN, [], 0
     for at, i in sorted(hits(b)):
         if at < until:
             continue
@@ -263,10 +343,21 @@ def store(docs: DataFrame, path: str) -> DataFrame:
     return docs.sparkSession.read.schema(_ENCODED).parquet(path)
 
 
-SNIFFED = "type string, embedded array<struct<at:long,length:long,type:string>>"
+SNIFFED = "type string, agrees boolean, embedded array<struct<at:long,length:long,type:string>>"
 
 
-def sniffed_rows(column: str):
+DECLARED = "_declared_type"
+#: Other names of the same types.
+ALIASES = {"image/jpg": "image/jpeg", "image/pjpeg": "image/jpeg", "image/x-ms-bmp": "image/bmp", "image/x-png": "image/png", "application/x-gzip": "application/gzip", "application/x-zip-compressed": "application/zip", "audio/x-wav": "audio/wav", "audio/wave": "audio/wav", "audio/x-flac": "audio/flac", "application/ogg": "audio/ogg", "video/avi": "video/x-msvideo"}
+
+
+def plain_type(declared: str) -> str:
+    """A declared type without parameters, by its usual name."""
+    own = declared.split(";")[0].strip().lower()
+    return ALIASES.get(own, own)
+
+
+def sniffed_rows(column: str, declared: str | None = None):
     kind = pa.list_(pa.struct([("at", pa.int64()), ("length", pa.int64()), ("type", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,21 +365,34 @@ def sniffed_rows(column: str):
             made = [sniff(b or b"") for b in batch.column(column).to_pylist()]
             types = pa.array([t for t, _ in made], pa.string())
             found = pa.array([[dict(zip(("at", "length", "type"), x)) for x in e] for _, e in made], kind)
-            yield pa.RecordBatch.from_arrays([*batch.columns, types, found], names=[*batch.schema.names, "type", "embedded"])
+            said = batch.column(declared).to_pylist() if declared else [None] * len(made)
+            agrees = pa.array([None if d is None else plain_type(d) == t for d, (t, _) in zip(said, made)], pa.bool_())
+            drop = [batch.schema.names.index(declared)] if declared == DECLARED else []
+            cols = [c for k, c in enumerate(batch.columns) if k not in drop]
+            names = [c for k, c in enumerate(batch.schema.names) if k not in drop]
+            yield pa.RecordBatch.from_arrays([*cols, types, agrees, found], names=[*names, "type", "agrees", "embedded"])
 
     return run
 
 
-def corrected(media: DataFrame, column: str = "media") -> DataFrame:
-    """media with type (by content) and embedded (offset, length, type); further columns stay."""
+def corrected(media: DataFrame, column: str = "media", declared: str = "declared") -> DataFrame:
+    """media with type (by content), agrees (whether the declared type is that; null: none is declared) and embedded.
+
+    embedded: offset, length, type. Further columns stay; those of the new names are replaced, and a declared
+    type may be one of them.
+    """
     ship(media.sparkSession)
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema if f.name not in ("type", "embedded")]
-    return media.drop("type", "embedded").mapInArrow(sniffed_rows(column), ", ".join([*kept, SNIFFED]))
+    new = ("type", "agrees", "embedded")
+    if declared in media.columns:
+        media = media.withColumn(DECLARED, F.col(f"`{declared}`").cast("string"))
+    media = media.drop(*new)
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema if f.name != DECLARED]
+    return media.mapInArrow(sniffed_rows(column, DECLARED if DECLARED in media.columns else None), ", ".join([*kept, SNIFFED]))
 
 
 def carved(found: DataFrame, column: str = "media") -> DataFrame:
     """corrected() rows -> one row for each embedded medium, with its bytes."""
-    rest = [c for c in found.columns if c not in (column, "type", "embedded")]
+    rest = [c for c in found.columns if c not in (column, "type", "agrees", "embedded")]
     rows = found.select(*rest, F.col(column).alias("_whole"), F.explode("embedded").alias("_x"))
     return rows.select(*rest, F.col("_x.at").alias("at"), F.col("_x.type").alias("type"), F.expr("substring(_whole, cast(_x.at + 1 as int), cast(_x.length as int))").alias("media"))
 
@@ -301,13 +405,13 @@ def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
     for batch in batches:
         rows = []
-        for media in batch.column("media").to_pylist():
+        for declared, media in zip(batch.column("declared").to_pylist(), batch.column("media").to_pylist()):
             kind, _ = sniff(media)
             (width, height), data = from_png(media)
             inner, found = sniff(data)
             light = np.bincount(np.frombuffer(data, dtype=np.uint8), minlength=256).dot(np.arange(256)) / len(data)
             embedded = ",".join(f"{t}@{at}+{n}" for at, n, t in found) or "-"
-            feature = f"{kind};{width}x{height};mean={light:.3f};inner={inner};embedded={embedded}"
+            feature = f"{kind};declared={declared if plain_type(declared) != kind else '='};{width}x{height};mean={light:.3f};inner={inner};embedded={embedded}"
             rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature))
         cols = list(zip(*rows)) or [[]] * 6
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, f.type) for c, f in zip(cols, list(schema)[2:]))], schema=schema)
