@@ -16,7 +16,8 @@ Fold: crc32(doc_id as text) mod 3; the remainder 1 is held out and never learnt
 source and doc_id are no features.
 
 Defined cases: null or empty text is scored by its (all zero) features; without positives every score
-is 0; a null doc_id is not held out; repeated rows stay; an empty table gives no rows; other columns
+is 0; a null doc_id is not held out and not learnt from; of a repeated id one text is learnt from, and every row is
+scored; long texts are scored whole; repeated rows stay; an empty table gives no rows; other columns
 are ignored.
 """
 
@@ -150,21 +151,35 @@ def feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.binary())], names=["doc_id", "x"])
 
 
-def collected(docs: DataFrame, ids: list[int], most: int) -> np.ndarray:
-    """Features of at most ``most`` documents, in doc_id order."""
-    rows = docs.where(F.col("doc_id").isin(ids)).select("doc_id", "text").mapInArrow(feature_rows, "doc_id long, x binary").limit(2 * most).collect() if ids else []
-    one = {r.doc_id: r.x for r in rows}
-    return np.array([np.frombuffer(one[i], dtype=np.float32) for i in sorted(one)], dtype=np.float64).reshape(-1, WIDTH)
+def collected(docs: DataFrame, ids: list[int]) -> np.ndarray:
+    """Features of the documents of these ids, a bounded list, in doc_id order; of a repeated id the text with the smallest hash."""
+    if not ids:
+        return np.zeros((0, WIDTH))
+    wanted = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in ids], "_id long"))
+    own = docs.join(wanted, F.col("doc_id") == F.col("_id"), "left_semi").select("doc_id", "text")
+    one = own.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    rows = sorted(one.mapInArrow(feature_rows, "doc_id long, x binary").collect())
+    return np.array([np.frombuffer(r.x, dtype=np.float32) for r in rows], dtype=np.float64).reshape(-1, WIDTH)
+
+
+def risk(m: Model, pos: np.ndarray, unl: np.ndarray) -> tuple[float, float]:
+    """(risk of the positives as such, risk of the negatives): both parts of the unbiased risk under the sigmoid loss.
+
+    Fitting takes the second as no less than zero.
+    """
+    p, u = sigmoid(logits(m, pos)), sigmoid(logits(m, unl))
+    return float(m.prior * (1 - p).mean()), float(u.mean() - m.prior * p.mean())
 
 
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model | None:
     """docs (doc_id, text), labels (doc_id, quality); both samples come from the training folds."""
     ship(docs.sparkSession)
-    smallest = lambda df, n: [r[0] for r in df.select("doc_id").where((fold() != 1) & F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).collect()]
+    smallest = lambda df, n: [r[0] for r in df.select(F.col("doc_id").cast("long").alias("doc_id")).where((fold() != 1) & F.col("doc_id").isNotNull()).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).collect()]
     trusted = smallest(labels.where("quality = 1"), positives)
     web = smallest(docs, unlabelled)
-    x = collected(docs, trusted, positives)
-    u = collected(docs, web, unlabelled)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    x = collected(own, trusted)
+    u = collected(own, web)
     if len(x) < 2 or len(u) < 2:
         return None
     prior = estimated_prior(x, u)
