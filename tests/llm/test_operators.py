@@ -427,6 +427,14 @@ def test_rule_order_never_changes_the_verdict(spark):
     assert [r.name for r in rules.ordered([(x.name, 1.0, i / 10) for i, x in enumerate(rules.RULES)])] == [x.name for x in rules.RULES[::-1]]
 
 
+def test_rules_are_ranked_by_what_earlier_ones_leave():
+    figures = [(r.name, 1.0, 0.5) for r in rules.RULES]
+    whom = {r.name: set() for r in rules.RULES} | {"symbols": {1, 2, 3, 4}, "shouting": {1, 2, 3}, "repetition": {7, 8}}
+    assert [r.name for r in rules.ordered(figures, whom=whom)][:2] == ["symbols", "repetition"]
+    texts = ["a b"] * 5 + [" ".join(f"w{i}" for i in range(200))] * 5
+    assert {r.name for r in rules.planned(texts)} == {r.name for r in rules.RULES} and rules.planned(texts)[0].name == "few_words"
+
+
 # -- 10 ------------------------------------------------------------------------------------------
 def test_op10(spark, sf_dir, docs):
     by_text = {}
