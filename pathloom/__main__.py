@@ -211,19 +211,21 @@ def with_spark(source: str, o: dict, files: list[str]) -> int:
     from pyspark.sql import SparkSession
 
     from pathloom.plans.numbering import SEQ
-    from pathloom.sources.files import last_status, null_input, read_lines, read_raw
+    from pathloom.sources.files import null_input, read_lines, read_raw
 
     spark = SparkSession.builder.master(f"local[{o.get('threads', os.environ.get('PATHLOOM_THREADS', '*'))}]").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     source_df = null_input(spark) if "null-input" in o else read_raw(spark, files) if "raw-input" in o else read_lines(spark, files)
     filter_ = Filter(source, o["named"], o["positional"])
     out = filter_.slurp(source_df) if "slurp" in o else filter_.apply(source_df, "evaluator")
+    status = 4  # no output yet
     for r in out.orderBy(SEQ, "_out").toLocalIterator():
         if r["error"] is not None:
             print(f"pathloom: error: {r['error']}", file=sys.stderr)
+            status = 5
         else:
             v = parse(r["value"])
             print(v if "raw-output" in o and isinstance(v, str) else r["value"])
-    status = last_status(out)
+            status = status if status == 5 else 1 if r["value"] in ("null", "false") else 0
     return status if status == 5 or "exit-status" in o else 0
 
 

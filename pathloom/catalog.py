@@ -153,6 +153,10 @@ evaluated(
 table("sorted_places", "orders", "sort_by(.o_totalprice, .o_orderkey) | to_entries | map({place: .key, k: .value.o_orderkey})", "SELECT row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS place, o_orderkey AS k FROM orders")
 table("reversed_places", "supplier", "sort_by(.s_acctbal, .s_suppkey) | reverse | to_entries | map({place: .key, k: .value.s_suppkey})", "SELECT row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey DESC) - 1 AS place, s_suppkey AS k FROM supplier")
 
+table("lag_places", "orders", "sort_by(.o_orderdate, .o_orderkey) | [. as $a | range(1; length) | {i: ., k: $a[.].o_orderkey, step: ($a[.].o_custkey - $a[. - 1].o_custkey)}]", "SELECT * FROM (SELECT row_number() OVER w - 1 AS i, o_orderkey AS k, o_custkey - lag(o_custkey) OVER w AS step FROM orders WINDOW w AS (ORDER BY o_orderdate, o_orderkey)) WHERE i > 0")
+table("lag_values", "events", "map(.event_id * 3) | [. as $a | range(1; $a | length) | $a[.] - $a[. - 1]]", "SELECT CAST(3 AS BIGINT) AS value FROM events WHERE event_id > 0")
+table("nested_loop", "customer", "[.[] as $c | $supplier[] | select(.s_nationkey == $c.c_nationkey and .s_acctbal > $c.c_acctbal) | {c: $c.c_custkey, s: .s_suppkey}]", "SELECT c_custkey AS c, s_suppkey AS s FROM customer JOIN supplier ON s_nationkey = c_nationkey AND s_acctbal > c_acctbal", ("supplier",))
+
 
 # -- sources, sinks, streams -----------------------------------------------------------------------
 def written(spark: SparkSession, sf_dir: str, name: str, main: str, source: str, **shape: object) -> str:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -124,6 +125,10 @@ def bound(state: object, node: tuple) -> object:
         items, key = (rows_of(source[3][0], rows), source[3][1]) if len(source[3]) == 2 else (rows, source[3][0])
         tables = {**rows.tables, name: Lookup(items, key)}
         return through(Whole(replace(rows, tables=tables)), pipes(body))
+    if isinstance(state, Whole) and source[0] == "identity":
+        return lagged(state.rows, name, pipes(body))
+    if isinstance(state, Whole) and source[0] == "iterate" and source[2][0] == "identity":
+        return matched(state.rows, name, pipes(body))
     if not isinstance(state, Rows):
         raise NotNative("a binding of the whole array")
     steps = pipes(source)
@@ -141,6 +146,96 @@ def bound(state: object, node: tuple) -> object:
     return through(inner, pipes(body))
 
 
+def replaced(node: object, change: Callable[[tuple], object]) -> object:
+    """The tree with every node that change gives something for replaced by it."""
+    if not isinstance(node, tuple):
+        return node
+    made = change(node) if node and isinstance(node[0], str) else None
+    return tuple(replaced(x, change) for x in node) if made is None else made
+
+
+def mentions(node: object, name: str) -> bool:
+    return isinstance(node, tuple) and (node[:1] == ("var",) and node[-1] == name or any(mentions(x, name) for x in node))
+
+
+def chained(steps: list[tuple]) -> tuple:
+    out = steps[-1]
+    for step_ in reversed(steps[:-1]):
+        out = ("pipe", step_[1], step_, out)
+    return out
+
+
+def lagged(rows: Rows, name: str, steps: list[tuple]) -> Rows:
+    """. as $a | range(1; length) | ... $a[.] ... $a[. - 1]: every value but the first beside the one before it.
+
+    Within a part of the order the value before is the window's; the first of a part takes the last value of the
+    part before, a row a part.
+    """
+    length = steps[0][3][1] if steps[0][0] == "call" and steps[0][2] == "range" and len(steps[0][3]) == 2 else ("none",)
+    counted = pipes(length)
+    whole = counted[-1][:1] == ("call",) and counted[-1][2] == "length" and (len(counted) == 1 or counted[0][:1] == ("var",) and counted[0][2] == name and len(counted) == 2)
+    if not whole or steps[0][3][0][:1] != ("literal",) or steps[0][3][0][2] != 1 or len(steps) < 2:
+        raise NotNative("a binding of the whole array")
+
+    def place(node: tuple) -> tuple | None:
+        if node[0] != "index" or node[2][:1] != ("var",) or node[2][2] != name:
+            return None
+        if node[3][0] == "identity":
+            return ("var", node[1], "_now")
+        if node[3][0] == "binary" and node[3][2] == "-" and node[3][3][0] == "identity" and node[3][4][0] == "literal" and node[3][4][2] == 1:
+            return ("var", node[1], "_before")
+        return None
+
+    body = replaced(chained(steps[1:]), place)
+    if mentions(body, name):
+        raise NotNative("the whole array beside its values")
+    wanted = [fields_of(body, lambda n, v=v: n[0] == "var" and n[-1] == v) for v in ("_now", "_before")]
+    packed = F.col("value") if rows.single else struct_of(rows.shown(), None if None in wanted else wanted[0] | wanted[1])
+    df = in_order(rows.df, list(rows.sorted_by)) if rows.sorted_by else sequenced(rows.df)
+    now, before = f"{HIDDEN}_now", f"{HIDDEN}_before"
+    df = numbered(df.select(SEQ, packed.alias(now)), "value").withColumn("_part", part())
+    inner = W.partitionBy("_part").orderBy(SEQ)
+    df = df.withColumns({before: F.lag(now).over(inner), "_first": F.row_number().over(inner) == 1})
+    last = df.groupBy(F.col("_part").alias("_p")).agg(F.max_by(now, SEQ).alias("_last"))
+    last = last.select("_p", F.lag("_last").over(W.orderBy("_p")).alias("_last"))
+    df = df.join(last, F.col("_part") == F.col("_p"), "left").withColumn(before, F.when(F.col("_first"), F.col("_last")).otherwise(F.col(before)))
+    df = df.where("value >= 1").select(SEQ, "value", now, before)
+    return through(Rows(df, single=True, names={"_now": now, "_before": before}, tables=rows.tables), pipes(body))
+
+
+def matched(rows: Rows, name: str, steps: list[tuple]) -> Rows:
+    """.[] as $x | $t[] | select(... == $x...) | ...: a nested loop whose condition has an equality is a join."""
+    if len(steps) < 2 or steps[0][0] != "iterate" or steps[0][2][0] != "var" or steps[1][0] != "call" or steps[1][2] != "select":
+        raise NotNative("a nested loop")
+    inner = rows_of(steps[0], rows)
+    if inner.single or rows.single:
+        raise NotNative("a nested loop over values")
+    alls, todo, keys = [], [steps[1][3][0]], []
+    while todo:
+        node = todo.pop()
+        todo += [node[2], node[3]] if node[0] == "and" else []
+        alls += [] if node[0] == "and" else [node]
+    rest = []
+    for node in alls:
+        sides = (node[3], node[4]) if node[0] == "binary" and node[2] == "==" else (None, None)
+        mine = [x for x in sides if x is not None and mentions(x, name)]
+        if len(mine) == 1 and not reads_state(mine[0]):
+            keys.append((mine[0], sides[1] if sides[0] is mine[0] else sides[0]))
+        else:
+            rest.append(node)
+    if not keys:
+        raise NotNative("a nested loop without an equality")
+    body = rest + steps[2:]
+    wanted = fields_of(tuple(body), lambda n: n[0] == "var" and n[-1] == name)
+    hidden = f"{HIDDEN}{name}"
+    left = rows.df.select(struct_of(rows.shown(), wanted).alias(hidden), *[plain(value(with_item(a, name), rows.row())).col.alias(f"_l{i}") for i, (a, _) in enumerate(keys)])
+    right = inner.df.select(*[F.col(f"`{c}`") for c in inner.shown()], *[plain(value(b, inner.row())).col.alias(f"_r{i}") for i, (_, b) in enumerate(keys)])
+    same = [F.col(f"_l{i}").eqNullSafe(F.col(f"_r{i}")) for i in range(len(keys))]
+    joined = right.join(left, reduce(lambda a, b: a & b, same)).drop(*[f"_{s}{i}" for s in "lr" for i in range(len(keys))])
+    out = Rows(joined, names={**inner.names, name: hidden}, tables=rows.tables)
+    return through(out, [("call", n[1], "select", (n,)) for n in rest] + steps[2:])
+
+
 def on_rows(rows: Rows, node: tuple) -> object:
     kind, row = node[0], rows.row()
     if kind == "identity":

@@ -77,3 +77,20 @@ def test_streams_number_their_records(spark, tmp_path):
     stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).orderBy("_seq").collect()
     assert [r.value for r in got] == [str(2 * i) for i in range(100)] and len({r._seq for r in got}) == 100
+
+
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_lag_crosses_partitions(spark, parts):
+    df = spark.range(0, 30, 1, parts).select(F.col("id").alias("k"), (F.col("id") * F.col("id")).alias("v")).where("k % 7 <> 3")
+    rows = sorted((r.k, r.v) for r in df.collect())
+    got = Filter("[. as $a | range(1; length) | {i: ., d: ($a[.].v - $a[. - 1].v)}]").slurp(df, gather=0).collect()
+    assert {r.i: r.d for r in got} == {i: rows[i][1] - rows[i - 1][1] for i in range(1, len(rows))}
+    back = Filter("sort_by(.k) | reverse | [. as $a | range(1; length) | $a[. - 1].k]").slurp(df, gather=0).collect()
+    assert sorted(r.value for r in back) == [k for k, _ in rows][1:]
+
+
+def test_nested_loops_with_an_equality_are_joins(spark):
+    a = spark.createDataFrame([(1, 5), (2, 6), (None, 7)], "k long, v long")
+    b = spark.createDataFrame([(1, "x"), (1, "y"), (None, "z")], "k long, n string")
+    got = Filter("[.[] as $x | $t[] | select(.k == $x.k and $x.v < 9) | {n, v: $x.v}]", tables=("t",)).slurp(a, {"t": b}, gather=0)
+    assert sorted((r.n, r.v) for r in got.collect()) == [("x", 5), ("y", 5), ("z", 7)]
