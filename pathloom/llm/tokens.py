@@ -16,9 +16,13 @@ import numpy as np
 from pyspark import SparkFiles
 
 #: Unicode White_Space, as the vocabularies' patterns read \\s.
-WHITE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+RARE_WHITE = r"\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WHITE = r"\t\n\x0b\x0c\r " + RARE_WHITE
 #: str.split() also splits at these, which are no white space to the vocabularies.
 NOT_WHITE = "\x1c\x1d\x1e\x1f"
+#: What makes runs of white space of more than two line ends, or with spaces in them, or of other kinds.
+UNPLAIN = ("  ", " \n", "\n ", "\n\n\n", "\t", "\r", "\x0b", "\x0c", "\0")
+_ODD_WHITE = re.compile(f"[{RARE_WHITE}]")
 REMEMBERED = 500_000
 LONGEST = 64
 
@@ -106,6 +110,8 @@ class Encoder:
         return self.ids(part.encode().decode("latin-1").translate(_BYTES))
 
     def piece(self, piece: str) -> bytes:
+        if not piece:
+            return b""
         if piece.isascii():  # most are one word: no need to split them
             if self.drops:
                 if piece.isalpha():
@@ -114,6 +120,8 @@ class Encoder:
                     return self.memo[piece[:-1].lower()] + self.memo[piece[-1]]
             elif piece[0] == " " and piece[1:].isalpha():
                 return self.ids("\u0120" + piece[1:])
+            elif piece[0] == " " and piece[1:-1].isalpha() and piece[-1] in STOPS:
+                return self.memo[piece[:-1]] + self.memo[piece[-1]]
         elif not _SIMPLE.match(piece):
             return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
         found = _DROPPING.findall(piece.lower()) if self.drops else _KEEPING.findall(piece)
@@ -128,8 +136,13 @@ class Encoder:
     def plain(self, text: str | None) -> bytes:
         if not text:
             return b""
-        plainly = self.drops and not any(c in text for c in NOT_WHITE)
-        return b"".join(map(self.memo.__getitem__, text.split() if plainly else self.pieces(text)))
+        if self.drops:
+            found = self.pieces(text) if any(c in text for c in NOT_WHITE) else text.split()
+        elif any(x in text for x in UNPLAIN) or text.endswith("\n\n") or not text.isascii() and _ODD_WHITE.search(text):
+            found = self.pieces(text)
+        else:  # each white character but the space before a word is a token of its own: cut there
+            found = text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
+        return b"".join(map(self.memo.__getitem__, found))
 
 
 def crc(ids: np.ndarray) -> int:
