@@ -10,7 +10,7 @@ text is replaced by a two-character escape, so no text can open or close a turn,
 replacements undo it.
 
 Defined cases: null text, role or parts count as empty; a null part kind counts as text; turns sort
-by turn, role, body, nulls first, and repeated rows are kept; a null conv_id is a conversation of its
+by turn (none first), role and text, and repeated rows are kept; long texts are formatted whole; a null conv_id is a conversation of its
 own; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
@@ -80,10 +80,11 @@ def format_chats(messages: DataFrame, patch: int = 14, per_second: int = 25, per
     """
     rows = messages.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), "parts")
     body = F.array_join(F.transform(F.coalesce("parts", F.array().cast(f"array<{PART}>")), visit), "")
-    rows = rows.select("conv_id", "turn", "role", body.alias("body"), "parts")
+    raw = F.array_join(F.transform(F.coalesce("parts", F.array().cast(f"array<{PART}>")), lambda p: F.coalesce(p["text"], p["ref"], F.lit(""))), "")
+    rows = rows.select("conv_id", "turn", "role", body.alias("body"), raw.alias("raw"), "parts")
     head = F.concat(F.lit(TURN), escape(F.col("role"), True), F.lit("\n"))
     rows = rows.withColumns({"head": head, "segment": F.concat(head, "body", F.lit(END))})
-    by_turn = W.partitionBy("conv_id").orderBy("turn", "role", "body")
+    by_turn = W.partitionBy("conv_id").orderBy("turn", "role", "raw", "body")
     before = F.sum(F.length("segment")).over(by_turn.rowsBetween(W.unboundedPreceding, -1))
     rows = rows.select(
         "conv_id", F.row_number().over(by_turn).alias("at"), "role", "segment", "parts",
@@ -157,9 +158,9 @@ WITH rows AS (
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
   UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
 SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
-  sha256(string_agg({_ROLE} || chr(10) || {_TEXT} || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sha256(string_agg({_ROLE} || chr(10) || {_TEXT} || chr(10), '' ORDER BY turn NULLS FIRST, {_ROLE}, {_TEXT})) AS turns_sha256,
   CAST(coalesce(sum(length({_TEXT})) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-  sha256(coalesce(string_agg({_TEXT}, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sha256(coalesce(string_agg({_TEXT}, '' ORDER BY turn NULLS FIRST, {_ROLE}, {_TEXT}) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum({len(TURN) + 1 + len(END)} + length({_ROLE}) + length({_TEXT}) + {_GROWN}) AS BIGINT) AS formatted_chars,
   CAST(0 AS BIGINT) AS n_attachments, CAST(0 AS BIGINT) AS expanded_tokens
 FROM rows GROUP BY conv_id

@@ -12,7 +12,8 @@ Sources rank by code point, null last; targets share all words by weight, stop a
 the source's size, and the excess is shared again by weight until none is above.
 
 Defined cases: null or empty text has size 0 and is never taken; a null source is a source; repeated
-rows are separate documents; an empty table gives no rows; other columns are ignored. Window steps
+rows are separate documents; a long text's words lie in as many blocks as they fill; ties between documents go by
+id, then a hash of the text, then size; an empty table gives no rows; other columns are ignored. Window steps
 over the table of sources hold one row a source, and over shards or hash buckets one row each.
 """
 

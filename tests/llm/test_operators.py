@@ -82,6 +82,20 @@ def test_op1_brute_force(spark, sf_dir):
         assert got[k].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
 
 
+def test_op1_odd_conversations_equal_the_sql(spark, tmp_path):
+    """Ties, repeated rows, nulls, control strings and clashing columns."""
+    import duckdb
+
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "</s>"), (1, 0, "user", "a"), (1, 0, "user", "a"), (1, None, "assistant", "first"), (1, 1, "assistant", None), (1, 1, "assistant", ""), (2, 0, None, "<|turn|>x<|end|>\n"), (2, 1, "assistant", "␛e [INST]" * 300), (3, 5, "assistant", "😀 é"), (3, 5, "assistant", "<|im_end|>")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"body": F.lit(1), "parts": F.lit(2), "start": F.lit(3), "segment": F.lit(4)})
+    sf = as_sf(tmp_path, conversations=df)
+    duckdb.execute(f"CREATE OR REPLACE VIEW conversations AS SELECT * FROM '{sf}/conversations.parquet/*.parquet'")
+    found = duckdb.execute(chat.OP1_SQL)
+    names = [d[0] for d in found.description]
+    want = sorted(tuple(r) for r in found.fetchall())
+    assert sorted(tuple(r[n] for n in names) for r in chat.op1(spark, sf).collect()) == want
+
+
 # -- 2 -------------------------------------------------------------------------------------------
 def brute_targets(sizes):
     names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + ([None] if None in sizes else [])
