@@ -4,8 +4,9 @@ Each source's words form one stream (its documents in hash order), cut into bloc
 The mix is a sequence of slots, dealt into output shards. Every shard draws its source counts from
 the multinomial of the targets; slots that a source drew beyond its target are dealt again to
 sources that drew too few, so the corpus totals hit the targets while shards stay random. The j-th
-slot of a source maps to a block through a pseudorandom permutation of its block indexes
-(swap-or-not rounds, one permutation for each pass over the source), and blocks join by index.
+slot of a source maps to a block through a pseudorandom permutation of the indexes of its full blocks
+(swap-or-not rounds, one permutation for each pass over the source; a short last block ends the pass), and
+blocks join by index.
 No block comes twice in one pass, so no document is taken more often than its source has passes.
 
 Sources rank by code point, null last; targets share all words by weight, stop at ``limit`` times
@@ -46,10 +47,17 @@ def targets(sized: DataFrame, weights: tuple = (5, 2, 1), limit: int = 3, block:
     per = per.withColumn("target", F.least("cap", F.max("level").over(W.partitionBy()) * F.col("weight")))
     blocks = F.ceil(F.col("source_size") / block).cast("long")
     per = per.withColumn("blocks", blocks)
-    slots = F.when(F.col("source_size") > 0, F.least(F.round(F.col("target") * F.col("blocks") / F.col("source_size")), F.col("blocks") * limit)).otherwise(0)
+    # Whole passes, then whole blocks, and the source's short last block only after all of them: no sum is off by more
+    # than half a block.
+    per = per.withColumns({"full": F.floor(F.col("source_size") / block).cast("long"), "passes": F.floor(F.try_divide("target", "source_size"))})
+    rest = F.col("target") - F.col("passes") * F.col("source_size")
+    more = F.least(F.round(rest / block), F.col("full"))
+    last = F.col("source_size") - F.col("full") * block
+    short = ((more == F.col("full")) & (last > 0) & (rest - more * block > last / 2)).cast("long")
+    slots = F.when(F.col("source_size") > 0, F.least(F.col("passes") * F.col("blocks") + more + short, F.col("blocks") * limit)).otherwise(0)
     per = per.withColumn("slots", slots.cast("long"))
     hi = F.sum("slots").over(W.orderBy("rank"))
-    return per.select("source", "rank", "source_size", "weight", "target", "blocks", "slots", (hi - F.col("slots")).alias("lo"), hi.alias("hi"))
+    return per.select("source", "rank", "source_size", "weight", "target", "blocks", "full", "slots", (hi - F.col("slots")).alias("lo"), hi.alias("hi"))
 
 
 def permuted(x: Column, n: Column, *key: Column) -> Column:
@@ -92,8 +100,9 @@ def draw(per: DataFrame, shard_slots: int = 4096, seed: int = 17) -> DataFrame:
     free = gap.where("got < slots").select("rank", "got", "under", F.explode(F.sequence("got", F.col("slots") - 1)).alias("j"))
     free = free.select("rank", "j", (F.col("under") + F.col("j") - F.col("got")).alias("q"))
     mixed = keep.unionByName(again.join(free, "q").select("shard", "rank", "j"))
-    mixed = mixed.join(per.select("rank", "blocks"), "rank")
-    index = permuted(F.pmod("j", "blocks"), F.col("blocks"), F.col("rank"), F.floor(F.col("j") / F.col("blocks")), F.lit(seed))
+    mixed = mixed.join(per.select("rank", "blocks", "full"), "rank").withColumn("x", F.pmod("j", "blocks"))
+    index = permuted(F.least("x", F.col("full") - 1), F.greatest("full", F.lit(1).cast("long")), F.col("rank"), F.floor(F.col("j") / F.col("blocks")), F.lit(seed))
+    index = F.when(F.col("x") < F.col("full"), index).otherwise(F.col("full"))  # the short block comes last in a pass
     return mixed.select("shard", "rank", "j", index.alias("block"))
 
 
