@@ -42,7 +42,10 @@ def evaluated(name: str, main: str, columns: list[str], source: str, out: str, s
     """The evaluator on records; its outputs read back by the schema ``out``."""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
-        made = Filter(source).apply(read(spark, d, main).select(*columns), "evaluator")
+        records, cores = read(spark, d, main).select(*columns), spark.sparkContext.defaultParallelism
+        if records.rdd.getNumPartitions() < cores:  # a small file is one task's otherwise, and Python is what takes the time
+            records = records.repartition(cores)
+        made = Filter(source).apply(records, "evaluator")
         # A record that the filter fails on fails the query.
         fine = F.when(F.col("error").isNull(), F.col("value")).otherwise(F.raise_error(F.concat(F.lit("filter error: "), "error")))
         return made.select(F.from_json(fine, out).alias("r")).select("r.*")
