@@ -94,3 +94,11 @@ def test_nested_loops_with_an_equality_are_joins(spark):
     b = spark.createDataFrame([(1, "x"), (1, "y"), (None, "z")], "k long, n string")
     got = Filter("[.[] as $x | $t[] | select(.k == $x.k and $x.v < 9) | {n, v: $x.v}]", tables=("t",)).slurp(a, {"t": b}, gather=0)
     assert sorted((r.n, r.v) for r in got.collect()) == [("x", 5), ("y", 5), ("z", 7)]
+
+
+def test_floats_reach_the_evaluator_as_the_doubles_they_are(spark):
+    """0.007 as a float is a little more than 0.007, 0.009 a little less: its floor in thousandths is 8."""
+    df = spark.createDataFrame([(0.009, [0.007, 0.009], (0.009,), {"a": 0.009})], "x float, l array<float>, s struct<y:float>, m map<string,float>")
+    (row,) = Filter("[.x, .l[], .s.y, .m.a] | map(. * 1000 | floor)").apply(df, "evaluator").collect()
+    thousandths = df.selectExpr("transform(array(x, l[0], l[1], s.y, m['a']), x -> floor(double(x) * 1000))").first()[0]
+    assert row.value == str(thousandths).replace(" ", "") and 8 in thousandths
