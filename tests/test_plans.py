@@ -102,3 +102,37 @@ def test_floats_reach_the_evaluator_as_the_doubles_they_are(spark):
     (row,) = Filter("[.x, .l[], .s.y, .m.a] | map(. * 1000 | floor)").apply(df, "evaluator").collect()
     thousandths = df.selectExpr("transform(array(x, l[0], l[1], s.y, m['a']), x -> floor(double(x) * 1000))").first()[0]
     assert row.value == str(thousandths).replace(" ", "") and 8 in thousandths
+
+
+def in_one_task(spark, path, df):
+    """Written as one row group, and read so that the scan has many tasks, of which one gets all rows."""
+    df.coalesce(1).write.parquet(path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 2000)
+    return spark.read.parquet(path)
+
+
+@pytest.fixture
+def small_splits(spark):
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def most_in_a_task(df):
+    return max(n for _, n in df.groupBy(F.spark_partition_id()).count().collect())
+
+
+def test_rows_of_one_row_group_are_dealt_to_all_tasks(spark, tmp_path, small_splits):
+    made = spark.range(8000).selectExpr("id o_orderkey", "id % 90 o_custkey", "timestamp_seconds(id * 86399) o_orderdate", "'O' o_orderstatus", "md5(string(id)) o_orderpriority")
+    assert most_in_a_task(in_one_task(spark, f"{tmp_path}/orders.parquet", made)) == 8000
+    for query in ("date_functions", "paths_write", "control_more", "joins_in_row", "patterns"):
+        assert most_in_a_task(catalog.QUERIES[query](spark, str(tmp_path))) < 3000, query
+
+
+def test_nested_loops_deal_the_rows_of_a_key(spark, tmp_path, small_splits):
+    a = in_one_task(spark, f"{tmp_path}/a", spark.range(8000).selectExpr("int(if(id % 9 = 0, null, 1)) k", "id v", "md5(string(id)) s"))
+    b = spark.createDataFrame([(1, 5), (1, 7000), (None, 3)], "k int, w long")
+    got = Filter("[.[] as $x | $t[] | select(.k == $x.k and .w > $x.v) | {w, v: $x.v}]", tables=("t",)).slurp(a, {"t": b}, gather=0)
+    want = {(w, v) for v in range(8000) for k, w in [(1, 5), (1, 7000), (None, 3)] if (None if v % 9 == 0 else 1) == k and w > v}
+    rows = got.collect()
+    assert len(rows) == len(want) and {(r.w, r.v) for r in rows} == want
+    assert most_in_a_task(got) < 3000
