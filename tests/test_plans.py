@@ -126,6 +126,7 @@ def test_rows_of_one_row_group_are_dealt_to_all_tasks(spark, tmp_path, small_spl
     assert most_in_a_task(in_one_task(spark, f"{tmp_path}/orders.parquet", made)) == 8000
     for query in ("date_functions", "paths_write", "control_more", "joins_in_row", "patterns"):
         assert most_in_a_task(catalog.QUERIES[query](spark, str(tmp_path))) < 3000, query
+    assert most_in_a_task(catalog.QUERIES["sorted_in_row"](spark, str(tmp_path))) < 4 * 3000
 
 
 def test_nested_loops_deal_the_rows_of_a_key(spark, tmp_path, small_splits):
