@@ -7,6 +7,7 @@ import json
 import pytest
 
 from pathloom.api import Filter, JsonError, validate
+from pathloom.functions import scalars
 
 CASES = [
     (".", "[1,2.5,null]", ["[1,2.5,null]"]),
@@ -120,3 +121,27 @@ def test_empty_table(spark):
 def test_nulls_follow_the_order_of_types(spark):
     rows = spark.createDataFrame([(1, None), (2, 5), (3, -1)], "id long, a long")
     assert [r.id for r in Filter("select(.a < 0) | {id}").apply(rows, "native").orderBy("id").collect()] == [1, 3]
+
+
+def test_plain_dates_need_no_general_parser(monkeypatch):
+    class Never(scalars.datetime):
+        @classmethod
+        def strptime(cls, *_):
+            raise AssertionError("the general parser")
+
+    monkeypatch.setattr(scalars, "datetime", Never)
+    assert scalars.strptime("2019-07-31T23:59:08Z", "%Y-%m-%dT%H:%M:%SZ") == [2019, 6, 31, 23, 59, 8, 3, 211]
+    assert scalars.strptime("31.07.2019", "%d.%m.%Y") == [2019, 6, 31, 0, 0, 0, 3, 211]
+    with pytest.raises(AssertionError):
+        scalars.strptime("2019-7-31T23:59:09Z", "%Y-%m-%dT%H:%M:%SZ")
+
+
+def test_dates_that_are_remembered_stay_as_they_were():
+    for made in (lambda: scalars.gmtime(86400), lambda: scalars.strptime("2019-07-31", "%Y-%m-%d")):
+        made()[0] = 1
+        assert made()[0] in (1970, 2019)
+    assert scalars.mktime([2019, 6, 31, 23, 59, 8.9]) == scalars.mktime([2019, 6, 31, 23, 59, 8]) == 1564617548
+    with pytest.raises(JsonError):
+        scalars.mktime([True, 6, 31, 0, 0, 0])
+    with pytest.raises(JsonError):
+        scalars.strptime("2019-02-29T00:00:00Z", "%Y-%m-%dT%H:%M:%SZ")
