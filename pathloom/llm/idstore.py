@@ -146,15 +146,13 @@ def tokenized(path: str, end_id: int):
 
         doc_ids, streams, size = [], [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    doc_ids.append(doc_id)
-                    streams.append(encoder.encode(text) + end)
-                    size += len(streams[-1])
-                    if size >= BYTES_AT_ONCE:
-                        yield made(doc_ids, streams)
-                        doc_ids, streams, size = [], [], 0
+            for doc_id, data in zip(batch.column(0).to_pylist(), encoder.encode_all(batch.column(1))):
+                doc_ids.append(doc_id)
+                streams.append(data + end)
+                size += len(streams[-1])
+                if size >= BYTES_AT_ONCE:
+                    yield made(doc_ids, streams)
+                    doc_ids, streams, size = [], [], 0
         if streams:
             yield made(doc_ids, streams)
 

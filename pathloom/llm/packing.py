@@ -61,8 +61,8 @@ def tokenized_blocks(path: str, end_id: int, block: int = BLOCK):
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
         for batch in batches:
-            for doc_id, source, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                ids = np.frombuffer(encoder.encode(text) + end, dtype="<u4")
+            for doc_id, source, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), encoder.encode_all(batch.column(2))):
+                ids = np.frombuffer(data + end, dtype="<u4")
                 at = 0
                 while at < len(ids):
                     piece = ids[at : at + block - held]

@@ -1,8 +1,9 @@
 """Whole-text token ids by the tokenizers library, remembered word by word.
 
 Both vocabularies split texts at white space before merging, so a text's ids are its pieces' ids in
-order. Pieces repeat: each distinct one goes through the library once and is then looked up. Strings
-of added tokens inside a text give their ids, as the library does by default; the text between them is split.
+order. Pieces repeat: each distinct one goes through the library once and is then looked up, once for all
+texts of a stretch that Arrow can split. Strings of added tokens inside a text give their ids, as the
+library does by default; the text between them is split.
 """
 
 from __future__ import annotations
@@ -11,8 +12,11 @@ import os
 import re
 import zlib
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 
 #: Unicode White_Space, as the vocabularies' patterns read \\s.
@@ -25,6 +29,10 @@ UNPLAIN = ("  ", " \n", "\n ", "\n\n\n", "\t", "\r", "\x0b", "\x0c", "\0")
 _ODD_WHITE = re.compile(f"[{RARE_WHITE}]")
 REMEMBERED = 500_000
 LONGEST = 64
+#: Bytes of texts split at once; longer texts than the second are split by themselves.
+STRETCH, LONG_TEXT = 4 << 20, 64 << 20
+#: The rare white space itself: Arrow's regular expressions don't know these escapes.
+_RARE = RARE_WHITE.encode().decode("unicode_escape")
 
 
 #: Letters and other numbers of the first 384 code points, whose Unicode properties never change.
@@ -94,6 +102,9 @@ class Encoder:
         added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.added = {t: array("I", [i]).tobytes() for t, i in added.items()}
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")").split if added else None
+        # What encode_all() leaves to encode(): texts that can't be cut at single characters.
+        odd = [f"[{NOT_WHITE}]"] if self.drops else [*UNPLAIN, r"\n\n\z"]
+        self.odd = "|".join([*odd, f"[{_RARE}]", *map(re.escape, added)])
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -133,6 +144,39 @@ class Encoder:
             return b"".join(self.added.get(x) or self.plain(x) for x in self.split(text))
         return self.plain(text)
 
+    def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
+        """encode() of each text, in order. A piece met again in a stretch of texts is not looked up again."""
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        first = 0
+        while first < len(texts):
+            reached = int(ends[first - 1]) if first else 0
+            stop = max(first + 1, int(np.searchsorted(ends, reached + STRETCH, "right")))
+            yield from self.stretch(texts.slice(first, stop - first))
+            first = stop
+
+    def stretch(self, texts: pa.Array) -> Iterator[bytes]:
+        texts = pc.fill_null(texts, "")
+        odd = pc.or_(pc.match_substring_regex(texts, self.odd), pc.greater(pc.binary_length(texts), LONG_TEXT))
+        plain = pc.if_else(odd, "", texts)
+        if self.drops:
+            found = pc.ascii_split_whitespace(plain)
+        else:  # as in plain()
+            found = pc.split_pattern(pc.replace_substring(pc.replace_substring(plain, "\n", "\0\n\0"), " ", "\0 "), "\0")
+        pieces = found.values.dictionary_encode()
+        ids = self.ids_of(pieces.dictionary).take(pieces.indices)
+        _, offsets, data = ids.buffers()
+        at = np.frombuffer(offsets, dtype=np.int64, count=len(ids) + 1)[found.offsets.to_numpy()].tolist()
+        for i, (is_odd, start, end) in enumerate(zip(odd.to_pylist(), at, at[1:])):
+            yield self.encode(texts[i].as_py()) if is_odd else data[start:end].to_pybytes() if end > start else b""
+
+    def ids_of(self, pieces: pa.Array) -> pa.Array:
+        """The ids of different pieces. A mark that ends a word is a token of its own: the word is looked up without it."""
+        ended = pc.match_substring_regex(pieces, f"[A-Za-z][{STOPS}]\\z")
+        words = pc.if_else(ended, pc.utf8_slice_codeunits(pieces, 0, -1), pieces).dictionary_encode()
+        marks = pc.if_else(ended, pc.utf8_slice_codeunits(pieces, -1), "").dictionary_encode()
+        found = (pa.array(map(self.memo.__getitem__, x.dictionary.to_numpy(zero_copy_only=False)), pa.large_binary()).take(x.indices) for x in (words, marks))
+        return pc.binary_join_element_wise(*found, pa.scalar(b"", pa.large_binary()))
+
     def plain(self, text: str | None) -> bytes:
         if not text:
             return b""

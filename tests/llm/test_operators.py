@@ -9,8 +9,10 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -266,6 +268,42 @@ def test_encoder_gives_ids_of_added_tokens(library, name):
         assert np.frombuffer(encoder.encode(text), dtype="<u4").tolist() == library[name](text), repr(text)
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_of_many_texts_equals_library(library, name, docs, monkeypatch):
+    encoder, rng = tokens.Encoder(packing.vocabulary(name)), random.Random(8)
+    plain = ["the", "The", "CAT", "caf\u00e9", "don't", "I'll", "x2", "\u6f22\u5b57", "e\u0301", "\u0130", "(a)", "..."]
+    made = [rng.choice(["", " ", "\n"]) + "".join(rng.choice(plain) + rng.choice(["", "", *tokens.STOPS, ".,", "'s."]) + rng.choice([" ", " ", "\n", "\n\n"]) for _ in range(9)).rstrip(rng.choice(["", "\n", " \n"])) for _ in range(400)]
+    odd = [rng.choice(plain) + x + rng.choice(plain) + "." for x in [*tokens.UNPLAIN, *tokens.NOT_WHITE, *map(chr, [0x85, 0xA0, 0x1680, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]), "\f", "<|endoftext|>", "<|startoftext|>", ".<|endoftext|>,"]]
+    texts = [None, "", " ", "\n", "\n\n", ",", "a,", *ODD, *made, *odd, *(d.text for d in docs.values()), None]
+    want = [library[name](t) for t in texts]
+    for stretch, longest in ((4 << 20, 64 << 20), (200, 64 << 20), (4 << 20, 100)):
+        monkeypatch.setattr(tokens, "STRETCH", stretch)
+        monkeypatch.setattr(tokens, "LONG_TEXT", longest)
+        got = list(encoder.encode_all(pa.array(["cut away", *texts], pa.string()).slice(1)))
+        assert [np.frombuffer(x, dtype="<u4").tolist() for x in got] == want
+    for few in ([], [None], [""], [" ", None]):
+        assert [len(x) for x in encoder.encode_all(pa.array(few, pa.string()))] == [4 * len(library[name](t)) for t in few]
+
+
+def test_op5_asks_for_a_word_once_a_stretch(library, monkeypatch):
+    path, asked = packing.vocabulary("byte_bpe_50k.json"), Counter()
+    encoder = tokens.Encoder(path)
+
+    def make(piece):
+        asked[piece] += 1
+        return encoder.piece(piece)
+
+    encoder.memo = tokens.Memo(make, most=1)  # remembers next to nothing: every question shows
+    monkeypatch.setattr(tokens.Encoder, "_made", {path: encoder})
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    words = [f"w{'abcdefghij'[i]}" for i in range(10)]
+    texts = ["z " + ", ".join(random.Random(k).sample(words, 10)) + "." for k in range(100)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array(["s"] * 100), pa.array(texts)], names=["doc_id", "source", "text"])
+    (block,) = packing.tokenized_blocks(path, 0)(iter([batch]))
+    assert np.frombuffer(block.column("ids")[0].as_py(), dtype="<u2").tolist() == [i for t in texts for i in [*library["byte_bpe_50k.json"](t), 0]]
+    assert set(asked) >= {f" {w}" for w in words} and max(asked.values()) == 1
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, dtype="<u4").tobytes())
 
